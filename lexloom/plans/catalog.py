@@ -5,6 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.operators import chunk, search, text
+from lexloom.plans import shared_sql
+from lexloom.sources import html, tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -16,3 +21,332 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query, with its SQL."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return tables.read(spark, sf_dir, name)
+
+
+def lang_docs(spark, sf_dir, lang="en"):
+    return load(spark, sf_dir, "documents").where(F.col("lang") == lang)
+
+
+# --- retrieval
+
+_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _bm25_sql(where: str, top: int, name: str = "ranked") -> str:
+    return f"""
+asked AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS term FROM benchmark),
+w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE {where}),
+stats AS (SELECT count(*) AS n_docs, avg(len(w)) AS avg_length FROM w),
+tf AS (SELECT term, doc_id, length, count(*) AS tf FROM (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
+  FROM tf JOIN asked USING (term) JOIN df USING (term), stats GROUP BY ALL
+),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= {top})"""
+
+
+@query(f"WITH {_bm25_sql("lang = 'en'", 5)} SELECT item_id, ranked.doc_id, CAST(rank AS INTEGER) AS rank, score, source || ', p.' || CAST(ranked.doc_id AS VARCHAR) AS citation FROM ranked JOIN documents USING (doc_id)")
+def bm25_topk(spark, sf_dir):
+    """The five best English documents for each benchmark item, with citations."""
+    docs = lang_docs(spark, sf_dir)
+    best = search.bm25(load(spark, sf_dir, "benchmark"), docs, "item_id", "doc_id", 5)
+    return best.join(docs.select("doc_id", "source"), "doc_id").select("item_id", "doc_id", "rank", "score", search.citation(F.col("source"), F.col("doc_id")).alias("citation"))
+
+
+@query(f"WITH {_bm25_sql("lang IN ('fr', 'de') AND source = 'src3'", 3)} SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM ranked")
+def filtered_search(spark, sf_dir):
+    """Filters stand below the ranking: IN, equality, and a condition of None that says nothing."""
+    docs = load(spark, sf_dir, "documents").where(search.predicate(lang=["fr", "de"], source="src3", doc_id=None))
+    return search.bm25(load(spark, sf_dir, "benchmark"), docs, "item_id", "doc_id", 3).select("item_id", "doc_id", "rank", "score")
+
+
+_DENSE = """
+dense_scored AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense_scored) WHERE rank <= {top})"""
+
+
+def _vectors(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings")
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v
+
+
+@query(f"WITH {_DENSE.format(top=5)} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, score FROM dense")
+def dense_topk(spark, sf_dir):
+    """Every 20th vector as a query against all vectors, by cosine."""
+    q, v = _vectors(spark, sf_dir)
+    return search.dense(q, v, "query_id", "vec_id", 5).select("query_id", "vec_id", "rank", "score")
+
+
+def _lists(spark, sf_dir, n=10):
+    """Two ranked lists of documents for each item: BM25 over texts, and by shared source order as a second opinion."""
+    docs, items = lang_docs(spark, sf_dir), load(spark, sf_dir, "benchmark")
+    first = search.bm25(items, docs, "item_id", "doc_id", n)
+    second = search.top_k(_overlap(items, docs), "item_id", "doc_id", n)
+    return first, second
+
+
+def _overlap(items, docs):
+    a = items.select("item_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    b = docs.select("doc_id", F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    return b.join(a, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
+def _fused_sql(weight: float, top: int, n: int = 10) -> str:
+    return f"""WITH {_bm25_sql("lang = 'en'", n, "first")},
+words AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w),
+second AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS c FROM asked JOIN words USING (term) GROUP BY ALL) QUALIFY rank <= {n}),
+parts AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS r0, NULL AS r1 FROM first UNION ALL SELECT item_id, doc_id, {weight}::DOUBLE / (60 + rank), NULL, rank FROM second),
+fused AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, min(r0) AS r0, min(r1) AS r1 FROM parts GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, doc_id) AS rank FROM fused)
+SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, score FROM placed WHERE rank <= {top}"""
+
+
+@query(_fused_sql(1.0, 5))
+def rrf_fuse(spark, sf_dir):
+    return search.fuse(list(_lists(spark, sf_dir)), "item_id", "doc_id", top=5).select("item_id", "doc_id", "rank", "score")
+
+
+@query(_fused_sql(2.0, 5))
+def rrf_weighted(spark, sf_dir):
+    return search.fuse(list(_lists(spark, sf_dir)), "item_id", "doc_id", [1.0, 2.0], top=5).select("item_id", "doc_id", "rank", "score")
+
+
+def _searchable(spark, sf_dir):
+    """Documents and items with vectors: the embeddings of the same number stand in for a model's."""
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = load(spark, sf_dir, "documents").join(v, "doc_id")
+    items = load(spark, sf_dir, "benchmark").join(v.withColumnRenamed("doc_id", "item_id"), "item_id")
+    return items, docs
+
+
+@query(f"""WITH docs AS (SELECT d.*, embedding FROM documents d JOIN embeddings ON vec_id = doc_id), {_bm25_sql("lang = 'en' AND doc_id IN (SELECT vec_id FROM embeddings)", 30, "first").replace("unnest(" + _TOKENS + ") AS term FROM benchmark", "unnest(" + _TOKENS + ") AS term FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)")},
+second AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id) AS rank FROM (SELECT q.vec_id AS item_id, doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS s FROM embeddings q JOIN benchmark ON item_id = q.vec_id, docs d WHERE lang = 'en') QUALIFY rank <= 30),
+parts AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s, rank AS r0, NULL AS r1 FROM second UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank), NULL, rank FROM first),
+fused AS (SELECT item_id, doc_id, round(sum(s), 9) AS score, min(r0) AS r0, min(r1) AS r1 FROM parts GROUP BY ALL)
+SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, r0 NULLS LAST, r1 NULLS LAST, doc_id) AS INTEGER) AS rank FROM fused QUALIFY rank <= 5""")
+def hybrid_search(spark, sf_dir):
+    items, docs = _searchable(spark, sf_dir)
+    return search.search(items, docs, "item_id", "doc_id", mode="hybrid", lang="en")
+
+
+@query()
+def hybrid_rerank(spark, sf_dir):
+    items, docs = _searchable(spark, sf_dir)
+    return search.search(items, docs, "item_id", "doc_id", mode="hybrid_rerank", lang="en")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM t GROUP BY term")
+def postings_df(spark, sf_dir):
+    """Collection and document frequency of each term."""
+    p = search.postings(load(spark, sf_dir, "documents"), "doc_id")
+    return p.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+
+
+SYNONYMS = [["the", "der", "le"], ["and", "und", "et"], ["of", "von", "de"]]
+
+
+def _has(t):
+    return rf"regexp_matches(lower(text), '(^|[^a-z0-9]){t}($|[^a-z0-9])')"
+
+
+@query("SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS expansions FROM (SELECT item_id, list_filter(list_concat(" + ", ".join("CASE WHEN " + " OR ".join(_has(t) for t in g) + " THEN [" + ", ".join(f"CASE WHEN NOT {_has(t)} THEN '{t}' END" for t in g) + "] ELSE [] END" for g in SYNONYMS) + "), lambda x: x IS NOT NULL) AS list_distinct_ordered FROM benchmark)")
+def query_expand(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").select("item_id", F.array_join(search.expansions(F.col("text"), SYNONYMS), " ").alias("expansions"))
+
+
+@query("SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9#][A-Za-z0-9#-]*'), lambda t: len(t) >= 5 AND regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[0-9]'))) AS identifier FROM documents")
+def identifiers(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(search.identifiers(F.col("text"))).alias("identifier"))
+
+
+# --- text
+
+_KEY = r"trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '#', 'g'), '\s+', ' ', 'g'))"
+_LINES = r"SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents"
+
+
+@query(f"SELECT key, count(*) AS n FROM (SELECT {_KEY} AS key FROM ({_LINES})) GROUP BY key")
+def line_norm_keys(spark, sf_dir):
+    return text.lines(load(spark, sf_dir, "documents"), "doc_id").groupBy(text.line_key(F.col("line")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_BOILER = f"""full_lines AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+edges AS (SELECT DISTINCT source, doc_id, {_KEY} AS key FROM (SELECT source, doc_id, unnest(list_concat(l[1:3], l[greatest(1, len(l) - 2):])) AS line FROM full_lines) WHERE len(trim(line)) <= 120),
+boiler AS (SELECT source, key, n_pages FROM (SELECT source, key, count(DISTINCT doc_id) AS n_pages FROM edges GROUP BY ALL) JOIN (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source) USING (source) WHERE pages >= 2 AND n_pages >= greatest(2, ceil(pages * 0.02)))"""
+
+
+@query(f"WITH {_BOILER} SELECT * FROM boiler")
+def boilerplate_lines(spark, sf_dir):
+    return text.boilerplate(load(spark, sf_dir, "documents"), "source", "doc_id", 0.02)
+
+
+@query(f"WITH {_BOILER}, kept AS (SELECT * FROM (SELECT *, {_KEY} AS key FROM ({_LINES})) l WHERE NOT EXISTS (SELECT 1 FROM boiler b WHERE b.source = l.source AND b.key = l.key)) SELECT doc_id, source, coalesce(t, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM kept GROUP BY doc_id) USING (doc_id)")
+def drop_boilerplate(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return text.drop_lines(docs, "source", "doc_id", text.boilerplate(docs, "source", "doc_id", 0.02))
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{text.EMAIL}')) AS email FROM documents")
+def extract_emails(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email"))
+
+
+@query(rf"SELECT doc_id, unnest(regexp_extract_all(text, '{text.PHONE}')) AS phone FROM documents")
+def extract_phones(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(text.phones(F.col("text"))).alias("phone"))
+
+
+@query("SELECT DISTINCT doc_id, regexp_replace(x, '^0+([0-9])', '\\1') AS number FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS x FROM documents)")
+def extract_numbers(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(text.numbers(F.col("text"))).alias("number"))
+
+
+@query()
+def clean_nfkc(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("text"))
+
+
+_DATED = [(1, "Issued 05/12/2024, due May 20, 2024 at 2:30 PM"), (2, "Published 26-MAY-2024; opens 29/05/2024 14:00"), (3, "No date here, only 13/13/2024"), (4, "Twice: 1/2/2024 and 1/2/2024, 9:05 am")]
+_DATED_SQL = "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _DATED) + ") v(id, text)"
+
+
+@query(r"""SELECT DISTINCT id, strftime(d, '%Y-%m-%d') AS found FROM (
+SELECT id, unnest(list_concat(list_concat(
+ list_transform(regexp_extract_all(text, '\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b'), lambda x: coalesce(try_strptime(x, '%m/%d/%Y'), try_strptime(x, '%d/%m/%Y'))),
+ list_transform(regexp_extract_all(text, '\b[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}\b'), lambda x: try_strptime(x, '%B %d, %Y'))),
+ list_transform(regexp_extract_all(text, '\b[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}\b'), lambda x: try_strptime(x, '%d-%b-%Y')))) AS d FROM """ + _DATED_SQL + ") WHERE d IS NOT NULL")
+def date_spans(spark, sf_dir):
+    return spark.createDataFrame(_DATED, "id int, text string").select("id", F.explode(text.dates(F.col("text"))).alias("found")).select("id", F.date_format("found", "yyyy-MM-dd").alias("found"))
+
+
+# --- sources
+
+@query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def content_sha256(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", tables.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
+def html_title(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer|head)[^>]*>.*?</(script|style|nav|footer|head)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def html_strip_text(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", html.strip(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages""")
+def html_links(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("link"))
+
+
+@query()
+def html_parse_fields(spark, sf_dir):
+    return html.fields(load(spark, sf_dir, "pages"), "page_id", "html")
+
+
+# --- chunks
+
+_SHOUT = r"(t = upper(t) AND t <> lower(t) AND len(regexp_split_to_array(t, '\s+')) BETWEEN 2 AND 10 AND len(t) <= 80 AND NOT regexp_matches(t, '[.,;]$') AND len(regexp_replace(t, '[^A-Za-z]', '', 'g')) >= 4)"
+_HEADING = rf"""CASE WHEN regexp_matches(t, '^#{{1,6}}\s+\S') THEN regexp_replace(t, '^#+\s+', '') WHEN regexp_matches(t, '\S {{3,}}\S') THEN NULL
+WHEN regexp_matches(t, '(?i)^(section|article|part|appendix|exhibit|attachment)\s+[A-Za-z0-9]+') AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\s+')) <= 12 THEN t
+WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]') AND NOT contains(t, ':') AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\s+')) <= 12 THEN t WHEN {_SHOUT} THEN t END"""
+
+
+@query(f"SELECT doc_id, pos, heading, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_HEADING} AS heading FROM (SELECT *, trim(line) AS t FROM ({_LINES})))")
+def section_carry(spark, sf_dir):
+    return chunk.carry_sections(text.lines(load(spark, sf_dir, "documents"), "doc_id"), "doc_id", "pos").select("doc_id", "pos", "heading", "section")
+
+
+@query()
+def chunk_pack(spark, sf_dir):
+    """Documents cut into chunks of 500 tokens, line by line."""
+    return chunk.chunk_documents(load(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(r"""WITH l AS (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+n AS (SELECT source, doc_id, unnest(list_transform(l, lambda x: len(regexp_extract_all(x, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')))) AS n FROM l)
+SELECT source, count(*) AS lines, CAST(floor(avg(n)) AS BIGINT) AS avg_tokens, CAST(max(n) AS BIGINT) AS max_tokens, count(DISTINCT doc_id) AS docs FROM n GROUP BY source""")
+def chunk_stats(spark, sf_dir):
+    rows = text.lines(load(spark, sf_dir, "documents"), "source", "doc_id").where(F.trim("line") != "").withColumn("n", chunk.count_tokens(F.col("line")))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.floor(F.avg("n")).alias("avg_tokens"), F.max("n").cast("long").alias("max_tokens"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(source || '/' || CAST(doc_id AS VARCHAR) || '/1/0')) AS h FROM documents)
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(hex((('0x' || h[17:18])::INTEGER & 63) | 128)) || h[19:20] || '-' || h[21:32] AS chunk_id FROM h""")
+def chunk_uuid(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", chunk.uuid5(F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.lit("1"), F.lit("0"))).alias("chunk_id"))
+
+
+# --- both engines run the same SQL
+
+for _name, (_spark_sql, _duck_sql) in shared_sql.STATEMENTS.items():
+
+    def _run(spark, sf_dir, statement=_spark_sql):
+        return tables.sql(spark, sf_dir, statement)
+
+    _run.__name__ = _name
+    query(_duck_sql)(_run)
+
+
+@query()
+def grounding_check(spark, sf_dir):
+    """Values made of each turn's own facts against the turn before it."""
+    rows = load(spark, sf_dir, "conversations")
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") == F.col("b.turn") + 1))
+    return pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("turn"), F.array_join(text.grounding_problems(F.col("a.text"), F.col("b.text")), "; ").alias("problems"))
+
+
+_VALUES = [(1, "datetime", "May 20, 2024 at 2:30 PM"), (2, "datetime", "May 20, 2024"), (3, "date", "next week"), (4, "contact", "call 555-123-4567"), (5, "contact", "the buyer"), (6, "text", "anything"), (7, "datetime", "2:30 PM")]
+
+
+@query("SELECT * FROM (VALUES (1, ''), (2, 'no time'), (3, 'no date'), (4, ''), (5, 'no e-mail or phone'), (6, ''), (7, 'no date')) v(id, problems)")
+def format_check(spark, sf_dir):
+    return spark.createDataFrame(_VALUES, "id int, kind string, value string").select("id", F.array_join(text.format_problems(F.col("kind"), F.col("value")), "; ").alias("problems"))
+
+
+@query("SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9#-]+'), lambda t: regexp_matches(t, '[0-9]')))), ' '), '') AS guards FROM conversations")
+def guard_tokens(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.guard_tokens(F.col("text")), " ").alias("guards"))
+
+
+_NOTICES = [(1, "The due date has been extended to June 4. All else stands."), (2, "No news."), (3, "Item 7 is hereby deleted from the list! Bonds were revised to ten percent.")]
+
+
+@query("SELECT * FROM (VALUES (1, 'The due date June 4.'), (3, 'Item 7 from the list!'), (3, 'Bonds were ten percent.')) v(id, next_query)")
+def two_hop(spark, sf_dir):
+    """Second-hop queries from sentences that announce a change."""
+    return spark.createDataFrame(_NOTICES, "id int, text string").select("id", F.explode(text.change_sentences(F.col("text"))).alias("next_query"))
+
+
+@query()
+def id_completion(spark, sf_dir):
+    """Part-number-like identifiers in documents: three digits, a hyphen, four alphanumerics, not inside a longer token."""
+    found = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9-])([0-9]{3}-[A-Za-z0-9]{4})(?![A-Za-z0-9-])"), 1)
+    return load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("identifier"))
+
+
+@query()
+def stream_index(spark, sf_dir):
+    """Documents arriving as a stream, indexed batch by batch: the manifest after all that is there."""
+    from lexloom.streaming import index
+
+    return index.run_available(spark, sf_dir)

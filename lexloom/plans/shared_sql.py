@@ -1,0 +1,165 @@
+"""Relational queries whose text both engines run; where dialects differ, a pair of texts.
+
+The tables stand in for the engine's own: documents for parsed files (source: collection, lang: type), events for trace
+events (event_type: node, value: latency, user_id: run), embeddings for question vectors (label: guard), labels for
+judged results, orders for amended values.
+"""
+
+from __future__ import annotations
+
+#: name -> (Spark SQL, DuckDB SQL)
+STATEMENTS: dict[str, tuple[str, str]] = {}
+
+
+def both(name: str, sql: str, **duck: str) -> None:
+    """Registers sql for both engines; duck: words of it that DuckDB spells otherwise."""
+    other = sql
+    for a, b in duck.values() if duck else ():
+        other = other.replace(a, b)
+    STATEMENTS[name] = (sql, other)
+
+
+both("doc_type_rules", """
+SELECT doc_id, CASE WHEN name LIKE '%addend%' THEN 'addendum' WHEN name LIKE '%spec%' THEN 'specs' WHEN name LIKE '%rfp%' THEN 'rfp'
+ WHEN head LIKE '%the%' AND head LIKE '%of%' THEN 'rfp' WHEN head LIKE '%der%' THEN 'specs' ELSE 'other' END AS doc_type,
+ CASE WHEN name LIKE '%addend%' OR name LIKE '%spec%' OR name LIKE '%rfp%' THEN 'filename' WHEN (head LIKE '%the%' AND head LIKE '%of%') OR head LIKE '%der%' THEN 'title_text' ELSE 'default' END AS matched_by
+FROM (SELECT doc_id, lower(CASE WHEN doc_id % 7 = 0 THEN 'Addendum ' || source WHEN doc_id % 11 = 0 THEN source || ' specs' ELSE source END) AS name, lower(substring(text, 1, 400)) AS head FROM documents) t
+""")
+
+both("ingest_report", """
+SELECT source AS collection, count(*) AS files, sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) AS failed,
+ sum(CASE WHEN length(text) < 200 THEN 1 ELSE 0 END) AS partial, min(CASE WHEN text IS NULL THEN 0 ELSE 1 END) = 1 AS ok FROM documents GROUP BY source
+""")
+STATEMENTS["ingest_report"] = (STATEMENTS["ingest_report"][0], STATEMENTS["ingest_report"][1].replace("sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END)", "CAST(sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) AS BIGINT)").replace("sum(CASE WHEN length(text) < 200 THEN 1 ELSE 0 END)", "CAST(sum(CASE WHEN length(text) < 200 THEN 1 ELSE 0 END) AS BIGINT)"))
+
+_OLD = "(SELECT source, doc_id, substring(HASH(text), 1, 12) AS h FROM documents WHERE doc_id % 10 <> 3)"
+_NEW = "(SELECT source, doc_id, substring(HASH(CASE WHEN doc_id % 13 = 0 THEN text || 'x' ELSE text END), 1, 12) AS h FROM documents WHERE doc_id % 10 <> 7)"
+_DIFF = f"""
+SELECT coalesce(n.source, o.source) AS collection, coalesce(n.doc_id, o.doc_id) AS file,
+ CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'skipped' ELSE 'changed' END AS state
+FROM {_OLD} o FULL OUTER JOIN {_NEW} n ON o.source = n.source AND o.doc_id = n.doc_id
+"""
+STATEMENTS["manifest_diff"] = (_DIFF.replace("HASH(", "sha1("), _DIFF.replace("HASH(", "md5("))
+_REST = f"SELECT d.source, d.doc_id FROM documents d LEFT ANTI JOIN {_NEW} n ON d.source = n.source AND d.doc_id = n.doc_id".replace("HASH(", "sha1(")
+STATEMENTS["incremental_delete"] = (_REST, "SELECT source, doc_id FROM documents WHERE doc_id % 10 = 7")
+
+both("gather_evidence", """
+WITH hits AS (SELECT source AS field, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS pos FROM documents),
+best AS (SELECT field, doc_id, pos FROM hits WHERE pos <= 5),
+first_seen AS (SELECT doc_id, min(field || '-' || CAST(pos AS STRING)) AS seen FROM best GROUP BY doc_id)
+SELECT b.field, b.doc_id, b.pos, 'E' || CAST(dense_rank() OVER (ORDER BY f.seen) AS STRING) AS evidence_id FROM best b JOIN first_seen f ON b.doc_id = f.doc_id
+""")
+
+both("neighbor_expand", """
+WITH seeds AS (SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents) t WHERE r <= 2)
+SELECT DISTINCT n.source, n.doc_id FROM seeds s JOIN documents n ON s.source = n.source AND n.doc_id BETWEEN s.doc_id - 40 AND s.doc_id + 40
+LEFT JOIN seeds x ON x.source = n.source AND x.doc_id = n.doc_id WHERE x.doc_id IS NULL
+""")
+
+both("multi_query_max_score", """
+SELECT doc_id, max(score) AS score FROM (
+ SELECT doc_id, length(text) * 1.0 / 100 AS score FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, (doc_id % 97) * 1.0 AS score FROM documents) t GROUP BY doc_id
+""")
+STATEMENTS["multi_query_max_score"] = tuple(s.replace("* 1.0", "* CAST(1 AS DOUBLE)") for s in STATEMENTS["multi_query_max_score"])
+
+both("cross_field_check", """
+SELECT o_custkey AS record, min(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END) AS meeting, max(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END) AS due,
+ coalesce(min(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate END) > max(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END), false) AS problem FROM orders GROUP BY o_custkey
+""")
+
+_REGISTRY = "(VALUES (0, 'Title', 'text'), (1, 'Due Date', 'datetime'), (2, 'Contact', 'contact'), (3, 'Parts', 'list')) AS g(pos, field, kind)"
+both("build_record", f"""
+WITH results AS (SELECT doc_id AS record, CASE doc_id % 3 WHEN 0 THEN 'Title' WHEN 1 THEN 'Due Date' ELSE 'Contact' END AS field, source AS value FROM documents WHERE lang = 'es'),
+records AS (SELECT DISTINCT record FROM results)
+SELECT r.record, g.pos, g.field, g.kind, coalesce(x.value, 'null') AS value, CASE WHEN x.value IS NULL THEN 0 ELSE 1 END AS found
+FROM records r CROSS JOIN {_REGISTRY} LEFT JOIN results x ON x.record = r.record AND x.field = g.field
+""")
+
+both("apply_validation", """
+SELECT l.doc_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'passed' WHEN l.quality = 1 THEN 'failed' ELSE 'not_found' END AS status,
+ CASE WHEN l.quality = 1 AND l.toxic = 1 THEN least(0.9, 0.4) ELSE 0.9 END AS confidence FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+""")
+STATEMENTS["apply_validation"] = tuple(s.replace("0.9", "CAST(0.9 AS DOUBLE)").replace("0.4", "CAST(0.4 AS DOUBLE)") for s in STATEMENTS["apply_validation"])
+
+both("validation_counts", """
+SELECT source, count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS passed, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS failed, count(CASE WHEN quality = 0 THEN 1 END) AS not_found
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source
+""")
+
+both("reconcile_latest", """
+SELECT o_custkey, o_orderkey AS addendum, o_totalprice AS new_value, prev AS old_value FROM (
+ SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) t WHERE r = 1
+""")
+
+both("citation_check", """
+SELECT conv_id, turn, CASE WHEN turn % 4 IN (1, 2) THEN text || ' [' || CAST(turn % 4 AS STRING) || ']' ELSE 'The documents do not say.' END AS answer, turn % 4 IN (1, 2) AS found FROM conversations
+""")
+
+STATEMENTS["semantic_cache_lookup"] = (
+    """
+WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 <> 0),
+s AS (SELECT q.vec_id AS question, c.vec_id AS cached, round(aggregate(zip_with(q.embedding, c.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (a, v) -> a + v)
+ / sqrt(aggregate(q.embedding, CAST(0 AS DOUBLE), (a, v) -> a + CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) * aggregate(c.embedding, CAST(0 AS DOUBLE), (a, v) -> a + CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS score FROM q JOIN c ON q.label = c.label)
+SELECT question, cached, score, score >= 0.95 AS hit FROM (SELECT question, cached, score, row_number() OVER (PARTITION BY question ORDER BY score DESC, cached) AS r FROM s) t WHERE r = 1
+""",
+    """
+WITH q AS (SELECT * FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0),
+s AS (SELECT q.vec_id AS question, c.vec_id AS cached, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM q JOIN c ON q.label = c.label)
+SELECT question, cached, score, score >= 0.95 AS hit FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, cached) AS r FROM s) t WHERE r = 1
+""",
+)
+
+both("cache_evict_fifo", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id DESC, turn DESC) AS r FROM conversations WHERE role = 'user') t WHERE r <= 500")
+
+_CELL = "max(CASE WHEN source = '{s}' THEN CASE WHEN length(text) > 60 THEN substring(text, 1, 59) || '…' ELSE text END END)"
+both("compare_pivot", "SELECT lang AS field, " + ", ".join(f"coalesce({_CELL.format(s=s)}, 'not stated') AS {s}" for s in ("src1", "src2", "src3")) + " FROM (SELECT lang, source, text, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents) t WHERE r = 1 GROUP BY lang")
+
+_DEADLINE = """
+SELECT o_custkey, max(o_orderdate) AS due, CASE WHEN max(o_orderdate) IS NULL THEN 'unknown' WHEN DAYS < 14 THEN 'fail' ELSE 'pass' END AS status FROM orders GROUP BY o_custkey
+"""
+STATEMENTS["deadline_check"] = (_DEADLINE.replace("DAYS", "datediff(max(o_orderdate), DATE '1998-06-01')"), _DEADLINE.replace("DAYS", "datediff('day', DATE '1998-06-01', max(o_orderdate)::DATE)"))
+
+both("go_no_go_decide", """
+WITH criteria AS (SELECT * FROM (VALUES ('A', true), ('N', true), ('R', false)) AS c(id, must)),
+assessed AS (SELECT l_orderkey AS record, l_returnflag AS id, max(CASE WHEN l_discount > 0.09 THEN 2 WHEN l_discount > 0.06 THEN 1 ELSE 0 END) AS s FROM lineitem GROUP BY l_orderkey, l_returnflag),
+met AS (SELECT o.o_orderkey AS record, c.id, c.must, coalesce(a.s, 1) AS s FROM orders o CROSS JOIN criteria c LEFT JOIN assessed a ON a.record = o.o_orderkey AND a.id = c.id)
+SELECT record, CASE WHEN max(CASE WHEN must AND s = 2 THEN 1 ELSE 0 END) = 1 THEN 'NO-GO' WHEN max(CASE WHEN must AND s = 1 THEN 1 ELSE 0 END) = 1 THEN 'REVIEW' ELSE 'GO' END AS decision FROM met GROUP BY record
+""")
+
+both("cost_by_node", """
+SELECT event_type AS node, count(*) AS calls, round(sum(value), 4) AS latency, round(sum(coalesce(CASE event_type WHEN 'view' THEN value * 1.0 WHEN 'click' THEN value * 2.0 END, 0)) / 1000000, 6) AS cost FROM events GROUP BY event_type
+""")
+both("cost_by_model", """
+SELECT e.model, count(*) AS calls, round(sum(e.value), 4) AS tokens, round(sum(e.value * p.price / 1000000), 6) AS cost FROM
+ (SELECT CASE WHEN user_id % 3 = 0 THEN 'fast' WHEN user_id % 3 = 1 THEN 'smart' ELSE 'unknown' END AS model, value FROM events) e
+LEFT JOIN (SELECT * FROM (VALUES ('fast', CAST(1 AS DOUBLE)), ('smart', CAST(2 AS DOUBLE))) AS v(name, price)) p ON p.name = e.model GROUP BY e.model
+""")
+both("run_history", """
+SELECT user_id AS run, count(*) AS steps, max(ts) AS ended, round(sum(coalesce(value, 0)), 4) AS cost, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS cache_hits FROM events GROUP BY user_id ORDER BY ended DESC, run LIMIT 50
+""")
+STATEMENTS["run_history"] = (STATEMENTS["run_history"][0], STATEMENTS["run_history"][1].replace("sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)", "CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT)"))
+both("state_merge", "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) t WHERE r = 1")
+
+_RANKED = """
+WITH gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ranked AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY CASE WHEN contains(d.text, substring(b.text, 1, 20)) THEN 0 ELSE 1 END, d.doc_id) AS r FROM benchmark b JOIN documents d ON substring(d.text, 1, 1) <> '' WHERE contains(d.text, substring(b.text, 1, 12))),
+hit AS (SELECT g.item_id, min(r.r) AS f FROM (SELECT DISTINCT item_id FROM gold) g LEFT JOIN (SELECT x.item_id, x.r FROM ranked x JOIN gold y ON x.item_id = y.item_id AND x.doc_id = y.doc_id WHERE x.r <= 10) r ON r.item_id = g.item_id GROUP BY g.item_id)
+"""
+_METRICS = "count(*) AS questions, round(avg(CASE WHEN f <= 1 THEN 1.0D ELSE 0 END), 6) AS r1, round(avg(CASE WHEN f <= 3 THEN 1.0D ELSE 0 END), 6) AS r3, round(avg(CASE WHEN f <= 5 THEN 1.0D ELSE 0 END), 6) AS r5, round(avg(CASE WHEN f <= 10 THEN 1.0D ELSE 0 END), 6) AS r10, round(avg(coalesce(1.0D / f, 0)), 6) AS mrr, round(avg(coalesce(1.0D / log2(f + 1), 0)), 6) AS ndcg FROM hit"
+STATEMENTS["retrieval_metrics"] = (f"{_RANKED} SELECT {_METRICS}", f"{_RANKED} SELECT {_METRICS}".replace("1.0D", "1.0::DOUBLE"))
+STATEMENTS["quality_gate"] = (f"{_RANKED} SELECT r5 >= 0.90 AND mrr >= 0.75 AS passed FROM (SELECT {_METRICS}) m", f"{_RANKED} SELECT r5 >= 0.90 AND mrr >= 0.75 AS passed FROM (SELECT {_METRICS}) m".replace("1.0D", "1.0::DOUBLE"))
+
+_SCORES = """
+SELECT coalesce(source, 'ALL') AS record, count(*) AS fields, count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS correct, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS partial,
+ round(avg(CASE WHEN quality = 1 THEN CASE WHEN toxic = 0 THEN 1.0D ELSE 0.5D END ELSE 0 END), 6) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (source)
+"""
+STATEMENTS["extraction_score_rollup"] = (_SCORES, _SCORES.replace("1.0D", "1.0::DOUBLE").replace("0.5D", "0.5::DOUBLE"))
+both("stability", """
+SELECT source, field, count(*) AS runs, count(CASE WHEN good THEN 1 END) AS correct, min(CASE WHEN good THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN good THEN 1 ELSE 0 END) = 1 AS unstable
+FROM (SELECT source, lang AS field, quality = 1 AND toxic = 0 AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id) t GROUP BY source, field
+""")
+_WINDOWS = "SELECT START AS start, event_type, count(*) AS calls, round(sum(value), 4) AS latency FROM events GROUP BY START, event_type"
+STATEMENTS["cost_windows"] = (_WINDOWS.replace("START", "date_trunc('DAY', ts)", 1).replace("GROUP BY START", "GROUP BY date_trunc('DAY', ts)"), _WINDOWS.replace("START", "date_trunc('day', ts)", 1).replace("GROUP BY START", "GROUP BY date_trunc('day', ts)"))
+both("catalog_union", "SELECT source AS id, 'documents' AS origin FROM documents GROUP BY source UNION SELECT CAST(conv_id AS STRING), 'conversations' FROM conversations GROUP BY conv_id")
+both("resolve_known", "SELECT source FROM documents WHERE source IN ('src1', 'src2', 'nowhere') INTERSECT SELECT source FROM documents WHERE lang = 'en'")
