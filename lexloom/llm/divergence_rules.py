@@ -175,7 +175,7 @@ FIELDS = [
 def judge(docs: DataFrame, references: dict[str, np.ndarray], common: dict[str, list[str]] = COMMON_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the counts, both distances (from the nearest language) and the verdict; no shuffle."""
     vocabulary = Vocabulary(common)
-    table = np.array([references[k] for k in sorted(references)]).reshape(len(references), -1)
+    table = np.array([references[k] for k in sorted(references)]).reshape(len(references), len(CLASSES) + vocabulary.n)
     chars, words = table[:, : len(CLASSES)], table[:, len(CLASSES) :]
 
     def work(column: pa.Array) -> list[pa.Array]:
