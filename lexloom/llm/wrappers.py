@@ -1,7 +1,8 @@
 """HTML extraction by union-free regular-expression wrappers.
 
-Every page becomes a stream of tokens: tags (with what their class or id says of their part) and texts. Streams of the
-same host are aligned one after another into the host's wrapper, a union-free regular expression:
+Every page becomes a stream of text tokens, each typed by the path of tags around it (with what a tag's class or id says
+of its part). Streams of the same host are aligned one after another into the host's wrapper, a union-free regular
+expression:
 
 * adjacent equal runs of tokens become a repeated group ``(...)+``;
 * tokens that one side lacks become an optional group ``(...)?``;
@@ -251,15 +252,17 @@ def _merged(a: list, b: list) -> list:
 
 
 def skeleton(html: str | None) -> list:
-    """A page's folded stream: breaks by path, and texts as constants by path."""
+    """A page's folded stream: its texts, each typed by its path; the path holds the tags around it."""
     nodes: list = []
     for path, kind, text in walk(html):
-        if kind == "#":
-            if text.isspace():
-                continue
-            nodes.append(["#", path, clean(text)[:80]])
-        elif not nodes or nodes[-1] != ["t", path]:
-            nodes.append(["t", path])
+        if kind != "#" or text.isspace():
+            continue
+        if nodes and nodes[-1][0] == "+" and nodes[-1][1][0][1] == path:
+            nodes[-1][1][0] = merge_node(nodes[-1][1][0], ["#", path, clean(text[:400])[:80]])
+        elif nodes and nodes[-1][0] == "#" and nodes[-1][1] == path:
+            nodes[-1] = ["+", [merge_node(nodes[-1], ["#", path, clean(text[:400])[:80]])]]
+        else:
+            nodes.append(["#", path, clean(text[:400])[:80]])
     return fold(nodes)
 
 
