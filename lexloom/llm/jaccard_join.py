@@ -38,7 +38,9 @@ from lexloom.llm.store import add_columns, materialize
 
 WIDTH = 5
 PERCENT = 75
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
+#: 64-bit words of the short bitmap that goes with a class into the tiles' own comparison.
+WORDS = 8
 #: Components that share a shingle from which it is put last in the order.
 HOT = 48
 #: Most hot shingles that are broadcast (8 bytes each); beyond it none is put last, and the result is the same.
@@ -71,6 +73,12 @@ def bitmap(x: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_bitmap(x: np.ndarray) -> list[int]:
+    """The bitmap at a fixed width of WORDS * 64 bits, as signed words."""
+    flips = np.bincount((x & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def differing_bits(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if len(x) < len(y):
@@ -97,10 +105,10 @@ def sketch(docs: DataFrame, with_prefix: bool, hot=None, percent: int = PERCENT)
     """
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
     if with_prefix:
-        fields += [T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+        fields += [T.StructField("bits", T.BinaryType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
 
     def work(column: pa.Array) -> list[pa.Array]:
-        sizes, d1, d2, bits, prefix, lengths = [], [], [], [], [], []
+        sizes, d1, d2, bits, short, prefix, lengths = [], [], [], [], [], [], []
         for _, _, data, off in tb.runs(column):
             for x in shingle_sets(data, off):
                 a, b = _digest(x)
@@ -113,12 +121,13 @@ def sketch(docs: DataFrame, with_prefix: bool, hot=None, percent: int = PERCENT)
                     if hot is not None:
                         p = _extension(x, k, hot.value)
                     bits.append(bitmap(x))
+                    short.append(short_bitmap(x))
                     prefix.append(p)
                     lengths.append(len(p))
         out = [pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
         if with_prefix:
             joined = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            out += [pa.array(bits, pa.binary()), tb.list_array(joined.astype(np.int64), np.array(lengths, np.int64), pa.int64())]
+            out += [pa.array(bits, pa.binary()), pa.array(short, pa.list_(pa.int64())), tb.list_array(joined.astype(np.int64), np.array(lengths, np.int64), pa.int64())]
         return out
 
     return add_columns(docs.select("doc_id", "text"), "text", fields, work).drop("text")
@@ -248,12 +257,20 @@ def _star(tiled: DataFrame) -> DataFrame:
     return _pairs(one("l").unionByName(one("r")))
 
 
-def _cross(tiled: DataFrame) -> DataFrame:
-    """Pairs of a home class with all classes of its tile that are of other components."""
-    mixed = tiled.groupBy("shingle", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle", "band")
-    rest = tiled.join(mixed, ["shingle", "band"], "left_semi")
-    home = rest.where("home").select("shingle", "band", F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    return _pairs(rest.join(home, ["shingle", "band"]).where((F.col("comp") != F.col("other")) & (~F.col("home") | (F.col("c") < F.col("d")))).select("c", "d", "n", "m"))
+def _cross(tiled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of a home class with all classes of its tile that are of other components, as far as the short bitmaps allow.
+
+    The bitmaps are compared inside the join, so a pair that they rule out is never a row.
+    """
+    mixed = tiled.groupBy("shingle", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("owned")).where("lo < hi and owned").select("shingle", "band")
+    words = classes.select("c", *[F.col("short")[i].alias(f"s{i}") for i in range(WORDS)])
+    rest = tiled.join(mixed, ["shingle", "band"], "left_semi").join(words, "c")
+    home = rest.where("home").select("shingle", "band", F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
+    differing = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    # at most (n + m - differing) / 2 shingles are in both
+    allowed = (100 - PERCENT) * (F.col("n") + F.col("m")) >= (100 + PERCENT) * differing
+    met = rest.join(home, ["shingle", "band"]).where((F.col("comp") != F.col("other")) & (~F.col("home") | (F.col("c") < F.col("d"))) & _size_fits("n", "m") & allowed)
+    return _pairs(met.select("c", "d", "n", "m"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -266,8 +283,8 @@ def join(docs: DataFrame, star_rounds: int = STAR_ROUNDS, hot: int = HOT) -> tup
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = sketch(known, True)
-    classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "bits", "prefix")).alias("r"))
-    classes = materialize(classes.select(F.col("r.doc_id").alias("c"), F.col("n_shingles").alias("n"), "d1", "d2", "r.bits", "r.prefix"))
+    classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "bits", "short", "prefix")).alias("r"))
+    classes = materialize(classes.select(F.col("r.doc_id").alias("c"), F.col("n_shingles").alias("n"), "d1", "d2", "r.bits", "r.short", "r.prefix"))
     verifier = Verifier(_distinct_rows(known).join(classes.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi"), classes)
     postings = materialize(shared_postings(classes.select("c", "n", "prefix")))
     seen: DataFrame | None = None
@@ -302,7 +319,7 @@ def join(docs: DataFrame, star_rounds: int = STAR_ROUNDS, hot: int = HOT) -> tup
         alone = classes.select(F.explode("prefix").alias("shingle"), "c", "n").join(names, "shingle", "left_semi").join(busy, "shingle", "left_anti")
         postings = materialize(cold.unionByName(added).unionByName(alone).distinct())
         compare(_star(_tiled(postings, comps)))
-    compare(_cross(_tiled(postings, comps)))
+    compare(_cross(_tiled(postings, comps), classes))
     members = sketch(docs.where(F.col("text").isNotNull()), False).unionByName(docs.where(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("d1"), F.lit(None).cast("long").alias("d2")))
     named = classes.select("c", F.col("n").alias("n_shingles"), "d1", "d2")
     members = members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "c")
