@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm import textbytes as tb
-from lexloom.llm.store import add_columns, materialize
+from lexloom.llm.store import add_columns, materialize, release
 
 WIDTH = 5
 PERCENT = 75
@@ -47,6 +47,8 @@ HOT = 48
 HOT_LIMIT = 4_000_000
 #: Most rows of 8 bytes that are broadcast to a join; beyond it Spark chooses, by what it measures.
 BROADCAST_ROWS = 500_000
+#: Pairs of a batch in the exact step: each brings two arrays, of 160 KB for a text of 20,000 words.
+EXACT_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -187,9 +189,8 @@ class Verifier:
         both = pairs.join(left, "a").join(right, "b").where(_size_fits("n", "m")).select("a", "b", "n", "m", "x", "y")
         return both.mapInArrow(run, "a long, b long")
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b)."""
-        percent = self.percent
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(c, s): the sorted arrays of the classes in pairs."""
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = self.docs.select("doc_id", "text").join(needed, "doc_id")
 
@@ -198,8 +199,11 @@ class Verifier:
             joined = np.concatenate(found) if found else np.zeros(0, np.uint64)
             return [tb.list_array(joined.astype(np.int64), np.array([len(x) for x in found], np.int64), pa.int64())]
 
-        sets = add_columns(texts, "text", [T.StructField("s", T.ArrayType(T.LongType()))], arrays).select(F.col("doc_id").alias("c"), "s")
-        sets = materialize(sets)
+        return add_columns(texts, "text", [T.StructField("s", T.ArrayType(T.LongType()))], arrays).select(F.col("doc_id").alias("c"), "s")
+
+    def exact(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The links among pairs (a, b)."""
+        percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -211,7 +215,11 @@ class Verifier:
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        return materialize(self.exact(materialize(self.near(pairs))))
+        near = materialize(self.near(pairs))
+        sets = materialize(self.sets(near))
+        found = materialize(self.exact(near, sets), EXACT_ROWS)
+        release(near, sets)
+        return found
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -236,7 +244,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lows, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
-        edges = materialize(small)
+        old, edges = edges, materialize(small)
+        release(old)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if state == before:
             return edges.select(F.col("u").alias("c"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("c"), F.col("v").alias("comp")).distinct())
@@ -317,7 +326,8 @@ def join(docs: DataFrame, star_rounds: int = STAR_ROUNDS, hot: int = HOT) -> tup
         names = added.select("shingle").distinct()
         names = F.broadcast(names) if added.count() <= BROADCAST_ROWS else names
         alone = classes.select(F.explode("prefix").alias("shingle"), "c", "n").join(names, "shingle", "left_semi").join(busy, "shingle", "left_anti")
-        postings = materialize(cold.unionByName(added).unionByName(alone).distinct())
+        old, postings = postings, materialize(cold.unionByName(added).unionByName(alone).distinct())
+        release(old, added)
         compare(_star(_tiled(postings, comps)))
     compare(_cross(_tiled(postings, comps), classes))
     members = sketch(docs.where(F.col("text").isNotNull()), False).unionByName(docs.where(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("d1"), F.lit(None).cast("long").alias("d2")))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _FALLBACK = "/tmp/checkpoints"
+#: Frees the shuffle files of a write when it ends, not when the driver's heap is next collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -18,15 +21,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_FALLBACK}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """Writes df as Parquet to the shared checkpoint folder and reads it back: the lineage ends there, and a lost
-    executor costs no more than a read. The files go with the folder, which the cluster's owner cleans."""
+    executor costs no more than a read. The shuffles behind it are freed at once, as nothing reads them again. The files
+    go by ``release`` or with the folder, which the cluster's owner cleans. batch_rows: rows of a batch that goes to
+    Python, where single rows are long."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/lexloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    settings = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables. All that was made of them must be written by then, for no plan can
+    read them again, not even to make up for a lost executor."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if not folder.rsplit("/", 1)[1].startswith("lexloom-"):
+                raise ValueError(f"{folder} is no materialized table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def add_columns(df: DataFrame, source: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """df with new columns that ``work`` computes from the column ``source``, batch by batch, without a shuffle.
 
