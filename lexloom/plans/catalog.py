@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators import chunk, search, text
+from lexloom.operators import chunk, classify, gather, reports, search, text
 from lexloom.plans import shared_sql
 from lexloom.sources import html, tables
+from lexloom.sources.store import ChunkStore
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -350,3 +352,84 @@ def stream_index(spark, sf_dir):
     from lexloom.streaming import index
 
     return index.run_available(spark, sf_dir)
+
+
+# --- the loop's operators on whole tables
+
+_NAMED = "CASE doc_id % 6 WHEN 0 THEN concat('Addendum No. ', doc_id) WHEN 1 THEN concat('spec ', source) WHEN 2 THEN concat('amendment_', source) WHEN 3 THEN 'RFQ' ELSE source END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_NAMED} AS name, CASE WHEN lang = 'de' THEN 'html' ELSE 'pdf' END AS kind, substring(text, 1, 400) AS head FROM documents),
+t AS (SELECT *, CASE WHEN kind = 'html' THEN 'bid_page' WHEN regexp_matches(name, '(?i)addendum|amendment') THEN 'addendum' WHEN regexp_matches(name, '(?i)affidavit') THEN 'affidavit' WHEN regexp_matches(name, '(?i)spec') THEN 'specs' WHEN regexp_matches(name, '(?i)rfp|rfq|ifb|solicitation') THEN 'rfp'
+ WHEN regexp_matches(head, '(?i)(addendum\s*(no\.?|number|#)?|amendment\s*(no\.?|#)?)\s*\d+') THEN 'addendum' WHEN regexp_matches(head, '(?i)affidavit') THEN 'affidavit' WHEN regexp_matches(head, '(?i)(technical|product) specification') THEN 'specs'
+ WHEN regexp_matches(head, '(?i)request for proposal|request for quot|invitation (for|to) bid|solicitation') THEN 'rfp' ELSE 'other' END AS doc_type FROM d)
+SELECT doc_id, doc_type, CASE WHEN doc_type = 'addendum' THEN coalesce(try_cast(nullif(regexp_extract(name, '(?i)(?:addendum|amendment)\s*(?:no\.?|number|#)?\s*(\d+)', 1), '') AS INTEGER), try_cast(nullif(regexp_extract(head, '(?i)(?:addendum|amendment)\s*(?:no\.?|number|#)?\s*(\d+)', 1), '') AS INTEGER)) END AS addendum_number FROM t""")
+def classify_documents(spark, sf_dir):
+    """Types and amendment numbers of documents under made-up file names."""
+    docs = load(spark, sf_dir, "documents").withColumn("_name", F.expr(_NAMED)).withColumn("_kind", F.when(F.col("lang") == "de", "html").otherwise("pdf"))
+    kind = classify.doc_type(F.col("_name"), F.col("_kind"), F.col("text"))
+    return docs.withColumn("doc_type", kind).select("doc_id", "doc_type", classify.addendum_number(F.col("_name"), F.col("text"), F.col("doc_type")).alias("addendum_number"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS doc_date FROM orders WHERE o_orderkey % 3 <> 0")
+def issue_dates(spark, sf_dir):
+    """Issue dates of notices made of orders in three formats; every third states a due date only."""
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(F.col("o_orderkey") % 5 == 0, F.upper(F.date_format("o_orderdate", "d-MMM-yyyy"))).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Notice\nNew due date: "), day)).otherwise(F.concat(F.lit("Notice\nClosing soon.\nIssued by the office on "), day))
+    return load(spark, sf_dir, "orders").select("o_orderkey", classify.doc_date(said).alias("doc_date")).where("doc_date IS NOT NULL")
+
+
+@query("""WITH h AS (SELECT l_suppkey AS record, l_linenumber AS field_pos, l_orderkey % 3 AS query_pos, l_partkey AS chunk_id, min(CAST(l_quantity AS INTEGER)) AS rank FROM lineitem GROUP BY ALL),
+s AS (SELECT record, field_pos, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, min(query_pos * 1000 + rank) AS met FROM h GROUP BY ALL)
+SELECT record, field_pos, chunk_id, score, CAST(row_number() OVER (PARTITION BY record, field_pos ORDER BY score DESC, met, chunk_id) AS INTEGER) AS rank FROM s
+QUALIFY row_number() OVER (PARTITION BY record, field_pos ORDER BY score DESC, met, chunk_id) <= 5""")
+def fuse_by_field(spark, sf_dir):
+    """The five best parts of each supplier and line number, fused over three lists of orders."""
+    rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("record"), F.col("l_linenumber").alias("field_pos"), (F.col("l_orderkey") % 3).alias("query_pos"), F.col("l_partkey").alias("chunk_id"))
+    return gather.fuse_fields(rows.agg(F.min(F.col("l_quantity").cast("int")).alias("rank")))
+
+
+_CELL = "max(CASE WHEN o_orderstatus = '{s}' THEN CASE WHEN n % 2 = 1 THEN '⚠ ' ELSE '' END || c || ' (' || o_orderstatus || ', p.' || n || ')' END)"
+
+
+@query(f"""WITH g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(max(o_custkey) AS VARCHAR) AS c FROM orders GROUP BY ALL)
+SELECT o_orderpriority AS field, {", ".join(f"coalesce({_CELL.format(s=s)}, 'not stated') AS {s}" for s in "FOPX")} FROM g GROUP BY o_orderpriority""")
+def comparison_table(spark, sf_dir):
+    """Cells of records (order statuses, one of them unknown) side by side, a row for each field (priority)."""
+    orders = load(spark, sf_dir, "orders")
+    grouped = orders.groupBy(F.col("o_orderstatus").alias("record"), F.col("o_orderpriority").alias("field")).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("o_custkey").cast("string").alias("c"))
+    results = grouped.select("record", "field", F.array("c").alias("value"), F.array(F.struct(F.col("record").alias("file"), F.col("n").alias("page"))).alias("sources"), F.lit(0.9).alias("confidence"), F.when(F.col("n") % 2 == 1, reports.FAILED_NOTE).otherwise("").alias("notes"))
+    registry = orders.select(F.col("o_orderpriority").alias("field"), F.lit(0).alias("field_pos")).distinct()
+    return reports.compare(reports.build_records(orders.select(F.col("o_orderstatus").alias("record")), registry, results), list("FOPX")).drop("field_pos")
+
+
+@query("""WITH r AS (SELECT doc_id AS record, 'quality' AS field, CAST(quality AS VARCHAR) AS v FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels WHERE toxic = 1)
+SELECT DISTINCT l.doc_id AS record, g.field_pos, g.field, coalesce(r.v, '') AS value, CASE WHEN r.v IS NULL THEN 0.0 ELSE 0.9 END AS confidence, CASE WHEN r.v IS NULL THEN 'Not found in documents' ELSE 'labelled' END AS notes
+FROM labels l CROSS JOIN (VALUES ('quality', 0), ('toxic', 1), ('summary', 2)) g(field, field_pos) LEFT JOIN r ON r.record = l.doc_id AND r.field = g.field""")
+def assemble_records(spark, sf_dir):
+    """Every registry field of every labelled document, with defaults for what no result holds."""
+    labels = load(spark, sf_dir, "labels")
+    found = [labels.where(F.col(c) == 1).select(F.col("doc_id").alias("record"), F.lit(c).alias("field"), F.array(F.col(c).cast("string")).alias("value")) for c in ("quality", "toxic")]
+    results = found[0].unionByName(found[1]).select("*", F.array().cast("array<struct<file: string, page: int>>").alias("sources"), F.lit(0.9).alias("confidence"), F.lit("labelled").alias("notes")).distinct()
+    registry = spark.createDataFrame([("quality", 0), ("toxic", 1), ("summary", 2)], "field string, field_pos int")
+    return reports.build_records(labels.select(F.col("doc_id").alias("record")), registry, results).select("record", "field_pos", "field", F.coalesce(F.array_join("value", "; "), F.lit("")).alias("value"), "confidence", "notes")
+
+
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, source, doc_id FROM documents WHERE NOT (source = 'src1' AND doc_id % 2 = 0))
+SELECT source AS collection, CAST(doc_id AS VARCHAR) AS file_name, CASE WHEN source = 'src1' AND doc_id % 2 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'skipped' END AS state,
+ coalesce((SELECT count(*) FROM l WHERE l.doc_id = d.doc_id AND trim(line) <> ''), 0) > 0 AS stored FROM documents d""")
+def store_index(spark, sf_dir):
+    """Documents indexed twice, every fifth changed and half of a collection gone in between: states, and what is held."""
+    docs = load(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("doc_id").cast("string").alias("file_name"), "text", "doc_id")
+    hashed = lambda rows: rows.withColumn("file_hash", tables.content_hash(F.col("text")))
+    held = ChunkStore(spark, f"{tables.shared_folder(spark)}/lexloom-store-{uuid.uuid4().hex}", "collection string, file_name string, chunk_id string, chunk_index int, text string")
+
+    def chunks(rows):
+        parts = chunk.chunk_documents(rows.withColumn("_k", F.struct("collection", "file_name")), "_k").select("_k.*", "chunk_index", "text")
+        return parts.withColumn("chunk_id", chunk.uuid5(F.concat_ws("/", "collection", "file_name", F.lit("1"), F.col("chunk_index").cast("string"))))
+
+    held.index(hashed(docs), chunks)
+    later = docs.where("NOT (collection = 'src1' AND doc_id % 2 = 0)").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    report = held.index(hashed(later), chunks)
+    files = held.chunks().select("collection", "file_name").distinct().withColumn("stored", F.lit(True))
+    return report.join(files, ["collection", "file_name"], "left").select("collection", "file_name", "state", F.coalesce("stored", F.lit(False)).alias("stored"))

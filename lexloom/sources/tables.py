@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,3 +34,15 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     extension = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
     kind = F.when(extension == "pdf", "pdf").when(extension.isin("html", "htm"), "html")
     return named.where(~F.col("file_name").startswith(".")).select("collection", "file_name", kind.alias("file_type"), "content", content_hash(F.col("content")).alias("file_hash"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a local one only where none is set."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: its plan ends there, and lost executors don't recompute it."""
+    path = f"{shared_folder(df.sparkSession)}/lexloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

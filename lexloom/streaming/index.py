@@ -16,8 +16,7 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def run_available(spark: SparkSession, folder: str) -> DataFrame:
     """Reads what documents are there as a stream, appends their manifest rows, and returns the manifest."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    at = f"{base}/lexloom-stream-{uuid.uuid4().hex}"
+    at = f"{tables.shared_folder(spark)}/lexloom-stream-{uuid.uuid4().hex}"
     path = f"{folder}/documents.parquet"
     schema = spark.read.parquet(path).schema
     # as a glob, so that a table may be one file or a folder of files
