@@ -10,8 +10,8 @@ expression:
 
 Slots stand at paths of elements; a path is *content* unless it lies in a menu, header, footer, sidebar, notice, advert,
 form, reader comments or the like, and pages whose template has an article (or main) part have content only there. A text
-that all of a host's pages with that path share word for word (``CONSTANT_PAGES`` of them at least, and of two different
-texts in the whole) is template, too. Extraction walks each page once by its host's table of paths.
+that all pages behind a node share word for word is template, too, if they are ``CONSTANT_PAGES`` at least that differ in
+the rest of their main texts: copies count as one page, and a node of fewer pages has no template. Extraction walks each page once by its host's table of paths.
 
 Pages are folded to their skeletons (repeats folded, texts replaced by a hash) before they are shuffled, so a host with a
 third of all pages is as many rows as it has different skeletons and tasks; wrappers merge in two steps, by host and a
@@ -24,6 +24,7 @@ results; white space is what Unicode calls so; columns named like the results ar
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -148,7 +149,8 @@ def clean(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
 
-# The wrapper: a list of nodes ["t", path], ["#", path, constant or None], ["+", nodes], ["?", nodes]
+# The wrapper: a list of nodes ["t", path], ["#", path, constant or None, seen], ["+", nodes], ["?", nodes]; seen holds the
+# marks of the different pages behind the node, or just CONSTANT_PAGES where there are so many
 
 
 def _same(a: list, b: list) -> bool:
@@ -192,10 +194,15 @@ def merge_node(a: list, b: list) -> list:
     if a[0] == "t":
         return a
     if a[0] == "#":
-        return ["#", a[1], a[2] if a[2] == b[2] else None]
+        return ["#", a[1], a[2] if a[2] == b[2] else None, _seen(a[3], b[3])]
     return [a[0], [merge_node(x, y) for x, y in zip(a[1], b[1], strict=True)]]
 
 
+def _seen(a: list | int, b: list | int) -> list | int:
+    both = CONSTANT_PAGES if CONSTANT_PAGES in (a, b) else sorted({*a, *b})
+    return both if both == CONSTANT_PAGES or len(both) < CONSTANT_PAGES else CONSTANT_PAGES
+
+
 def align(a: list, b: list) -> list:
     """The least general union-free expression (of this kind) that both match: a longest common run of equal nodes, what
     lies between as optional groups; a group met by its own single turn absorbs it."""
@@ -253,23 +260,26 @@ def _merged(a: list, b: list) -> list:
 
 def skeleton(html: str | None) -> list:
     """A page's folded stream: its texts, each typed by its path; the path holds the tags around it."""
+    texts = [(path, text) for path, kind, text in walk(html) if kind == "#" and not text.isspace()]
+    article = any(inside(p) and not outside(p) for p, _ in texts)
+    own = hashlib.blake2b("\n".join(clean(t) for p, t in texts if not outside(p) and (inside(p) or not article)).encode("utf-8", "replace"), digest_size=8)
+    seen = [own.hexdigest()]
     nodes: list = []
-    for path, kind, text in walk(html):
-        if kind != "#" or text.isspace():
-            continue
+    for path, text in texts:
+        node = ["#", path, clean(text[:400])[:80], seen]
         if nodes and nodes[-1][0] == "+" and nodes[-1][1][0][1] == path:
-            nodes[-1][1][0] = merge_node(nodes[-1][1][0], ["#", path, clean(text[:400])[:80]])
+            nodes[-1][1][0] = merge_node(nodes[-1][1][0], node)
         elif nodes and nodes[-1][0] == "#" and nodes[-1][1] == path:
-            nodes[-1] = ["+", [merge_node(nodes[-1], ["#", path, clean(text[:400])[:80]])]]
+            nodes[-1] = ["+", [merge_node(nodes[-1], node)]]
         else:
-            nodes.append(["#", path, clean(text[:400])[:80]])
+            nodes.append(node)
     return fold(nodes)
 
 
-def slots(nodes: list) -> Iterator[tuple[str, str | None]]:
+def slots(nodes: list) -> Iterator[tuple[str, str | None, list | int]]:
     for node in nodes:
         if node[0] == "#":
-            yield node[1], node[2]
+            yield node[1], node[2], node[3]
         elif node[0] in "+?":
             yield from slots(node[1])
 
@@ -294,10 +304,10 @@ class Wrapper:
         """path -> [content?, constants of the template]"""
         found: dict[str, list] = {}
         nodes = self.nodes or []
-        article = any(inside(p) and not outside(p) for p, _ in slots(nodes))
-        for path, constant in slots(nodes):
+        article = any(inside(p) and not outside(p) for p, _, _ in slots(nodes))
+        for path, constant, seen in slots(nodes):
             entry = found.setdefault(path, [not outside(path) and (inside(path) or not article), []])
-            if constant is not None and self.pages >= CONSTANT_PAGES and not inside(path):
+            if constant is not None and seen == CONSTANT_PAGES and not inside(path):
                 entry[1].append(constant)
         return found
 
@@ -313,7 +323,7 @@ def _blank(nodes: list) -> list:
     out = []
     for x in nodes:
         if x[0] == "#":
-            out.append(["#", x[1], None if inside(x[1]) and not outside(x[1]) else x[2]])
+            out.append(["#", x[1], None if inside(x[1]) and not outside(x[1]) else x[2], x[3]])
         else:
             out.append(x if x[0] == "t" else [x[0], _blank(x[1])])
     return out

@@ -282,3 +282,16 @@ def test_wrappers_infer_groups_options_and_slots():
     w.add(b, 1)
     assert [x[0] for x in w.nodes] == ["+", "#", "?", "#"]
     assert w.nodes[1][2] is None and w.nodes[3][2] == "same"
+
+
+def read_host(spark, pages):
+    rows = [(i, f"http://host.org/{i}", html) for i, html in enumerate(pages)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(got)]
+
+
+def test_wrappers_keep_texts_of_few_or_equal_pages(spark):
+    pages = ["<p>all rights</p><h1>t1</h1><div>one</div>", "<p>all rights</p><h1>t2</h1><div>two</div>", "<p>all rights</p><h1>t3</h1><div>three</div><blockquote>Q</blockquote>"]
+    assert read_host(spark, pages) == ["t1 one", "t2 two", "t3 three Q"]
+    assert read_host(spark, pages[:1] * 4) == ["all rights t1 one"] * 4
+    assert read_host(spark, pages[:1] * 3 + pages[1:2]) == ["all rights t1 one"] * 3 + ["all rights t2 two"]
