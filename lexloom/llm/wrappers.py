@@ -9,7 +9,7 @@ expression:
 * texts that differ become a slot ``#``; a text equal on all pages stays a constant of the template.
 
 Slots stand at paths of elements; a path is *content* unless it lies in a menu, header, footer, sidebar, notice, advert,
-form, reader comments or the like, and pages whose template has an article (or main) part have content only there. A text
+form, reader comments or the like, and pages with an article (or main) part of their own have content only there. A text
 that all pages behind a node share word for word is template, too, if they are ``CONSTANT_PAGES`` at least that differ in
 the rest of their main texts: copies count as one page, and a node of fewer pages has no template. Extraction walks each page once by its host's table of paths.
 
@@ -300,15 +300,12 @@ class Wrapper:
             self.nodes = fold(align(self.nodes, nodes))
         self.pages += pages
 
-    def table(self) -> dict[str, list]:
-        """path -> [content?, constants of the template]"""
-        found: dict[str, list] = {}
-        nodes = self.nodes or []
-        article = any(inside(p) and not outside(p) for p, _, _ in slots(nodes))
-        for path, constant, seen in slots(nodes):
-            entry = found.setdefault(path, [not outside(path) and (inside(path) or not article), []])
+    def table(self) -> dict[str, set]:
+        """path -> constants of the template"""
+        found: dict[str, set] = {}
+        for path, constant, seen in slots(self.nodes or []):
             if constant is not None and seen == CONSTANT_PAGES and not inside(path):
-                entry[1].append(constant)
+                found.setdefault(path, set()).add(constant)
         return found
 
 
@@ -362,8 +359,8 @@ def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     return some.groupBy("host").applyInPandas(_merge_rows, schema).select("host", "nodes", "pages")
 
 
-def read(html: str | None, table: dict[str, list] | None) -> str:
-    """The main text of a page by its host's table of paths."""
+def read(html: str | None, table: dict[str, set] | None) -> str:
+    """The main text of a page by its own parts and its host's template."""
     if not html:
         return ""
     steps = list(walk(html))
@@ -374,8 +371,8 @@ def read(html: str | None, table: dict[str, list] | None) -> str:
             out.append(" ")
             continue
         content = not outside(path) and (inside(path) or not article)
-        if table is not None and not article and (entry := table.get(path)):
-            content = content and entry[0] and not (entry[1] and clean(text)[:80] in entry[1])
+        if content and table and not article and (constants := table.get(path)):
+            content = clean(text)[:80] not in constants
         if content:
             out.append(entities.unescape(text))
     return " ".join("".join(out).split())

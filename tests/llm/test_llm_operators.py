@@ -295,3 +295,14 @@ def test_wrappers_keep_texts_of_few_or_equal_pages(spark):
     assert read_host(spark, pages) == ["t1 one", "t2 two", "t3 three Q"]
     assert read_host(spark, pages[:1] * 4) == ["all rights t1 one"] * 4
     assert read_host(spark, pages[:1] * 3 + pages[1:2]) == ["all rights t1 one"] * 3 + ["all rights t2 two"]
+
+
+def read_all(pages):
+    w = wrappers.Wrapper()
+    for html in pages:
+        w.add(wrappers.skeleton(html), 1)
+    return [wrappers.read(html, w.table()) for html in pages]
+
+
+def test_wrappers_read_pages_of_mixed_templates():
+    assert read_all(["<article><p>in</p></article><div>out</div>", "<div><p>one</p></div>", "<div>two</div>"]) == ["in", "one", "two"]
