@@ -40,7 +40,7 @@ from lexloom.llm.store import materialize
 
 CONSTANT_PAGES = 3
 SALTS = 16
-#: Longest stream (folded) that is aligned token by token; longer ones are merged by path alone.
+#: Longest stream (folded) that is aligned token by token; longer ones meet node by node in no order.
 ALIGN_TOKENS = 400
 #: Wrappers of up to this size in all are broadcast to the pages; beyond it pages meet them in a shuffle by host.
 BROADCAST_BYTES = 32 << 20
@@ -149,6 +149,12 @@ def clean(raw: str) -> str:
     return " ".join(entities.unescape(raw).split())
 
 
+def mark(raw: str) -> str:
+    """A short cleaned text itself, a hash of a longer one (with a line break, which no cleaned text has)."""
+    text = clean(raw)
+    return text if len(text) <= 40 else "\n" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 # The wrapper: a list of nodes ["t", path], ["#", path, constant or None, seen], ["+", nodes], ["?", nodes]; seen holds the
 # marks of the different pages behind the node, or just CONSTANT_PAGES where there are so many
 
@@ -258,15 +264,26 @@ def _merged(a: list, b: list) -> list:
     return [marks[0] if marks else "+", inner]
 
 
+def meet(a: list, b: list) -> list:
+    """As align, but in no order: each node of a with all nodes of b that look like it, the rest of b as options."""
+    own: dict[str, list] = {}
+    for x in b:
+        key = _key(_bare(x))
+        own[key] = _merged(own[key], x) if key in own else x
+    keys = [_key(_bare(x)) for x in a]
+    return [_merged(x, own[k]) if k in own else x for x, k in zip(a, keys, strict=True)] + [["?", [x]] for k, x in own.items() if k not in set(keys)]
+
+
 def skeleton(html: str | None) -> list:
     """A page's folded stream: its texts, each typed by its path; the path holds the tags around it."""
     texts = [(path, text) for path, kind, text in walk(html) if kind == "#" and not text.isspace()]
     article = any(inside(p) and not outside(p) for p, _ in texts)
-    own = hashlib.blake2b("\n".join(clean(t) for p, t in texts if not outside(p) and (inside(p) or not article)).encode("utf-8", "replace"), digest_size=8)
-    seen = [own.hexdigest()]
+    marks = [mark(t) for _, t in texts]
+    own = "\t".join(m for (p, _), m in zip(texts, marks, strict=True) if not outside(p) and (inside(p) or not article))
+    seen = [hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()]
     nodes: list = []
-    for path, text in texts:
-        node = ["#", path, clean(text[:400])[:80], seen]
+    for (path, _), text in zip(texts, marks, strict=True):
+        node = ["#", path, text, seen]
         if nodes and nodes[-1][0] == "+" and nodes[-1][1][0][1] == path:
             nodes[-1][1][0] = merge_node(nodes[-1][1][0], node)
         elif nodes and nodes[-1][0] == "#" and nodes[-1][1] == path:
@@ -294,8 +311,7 @@ class Wrapper:
         if self.nodes is None:
             self.nodes = nodes
         elif len(self.nodes) > ALIGN_TOKENS or len(nodes) > ALIGN_TOKENS:
-            known = {_key(_bare(x)) for x in self.nodes}
-            self.nodes = self.nodes + [["?", [x]] for x in nodes if _key(_bare(x)) not in known]
+            self.nodes = meet(self.nodes, nodes)
         else:
             self.nodes = fold(align(self.nodes, nodes))
         self.pages += pages
@@ -372,7 +388,7 @@ def read(html: str | None, table: dict[str, set] | None) -> str:
             continue
         content = not outside(path) and (inside(path) or not article)
         if content and table and not article and (constants := table.get(path)):
-            content = clean(text)[:80] not in constants
+            content = mark(text) not in constants
         if content:
             out.append(entities.unescape(text))
     return " ".join("".join(out).split())

@@ -306,3 +306,14 @@ def read_all(pages):
 
 def test_wrappers_read_pages_of_mixed_templates():
     assert read_all(["<article><p>in</p></article><div>out</div>", "<div><p>one</p></div>", "<div>two</div>"]) == ["in", "one", "two"]
+
+
+def test_wrappers_compare_whole_texts():
+    lead = "The same long lead of every report that this host has ever put on a page of its own: "
+    assert read_all([f"<h1>t{i}</h1><p>{lead}{i}</p>" for i in range(4)]) == [f"t{i} {lead}{i}" for i in range(4)]
+    assert read_all([f"<h1>t{i}</h1><p>{' ' * 500}{lead}</p>" for i in range(4)]) == [f"t{i}" for i in range(4)]
+
+
+def test_wrappers_merge_long_streams():
+    long = "".join(f"<x{k}>same{k}</x{k}>" for k in range(450))
+    assert read_all([f"{long}<h6>t{i}</h6>" for i in range(4)]) == [f"t{i}" for i in range(4)]
