@@ -1,17 +1,19 @@
 """HTML extraction by union-free regular-expression wrappers.
 
-Every page becomes a stream of text tokens, each typed by the path of tags around it (with what a tag's class or id says
-of its part). Streams of the same host are aligned one after another into the host's wrapper, a union-free regular
-expression:
+Every page becomes a stream of lines (the texts between two breaks of blocks), each typed by the path of tags around it
+(with what a tag's class or id says of its part). Streams of the same host are aligned one after another into the host's
+wrapper, a union-free regular expression:
 
-* adjacent equal runs of tokens become a repeated group ``(...)+``;
-* tokens that one side lacks become an optional group ``(...)?``;
-* texts that differ become a slot ``#``; a text equal on all pages stays a constant of the template.
+* adjacent equal runs of lines become a repeated group ``(...)+``;
+* lines that one side lacks become an optional group ``(...)?``;
+* lines that differ become a slot ``#``; a line equal on all pages stays a constant of the template. A repeated line has as
+  constants what each page has among its turns.
 
-Slots stand at paths of elements; a path is *content* unless it lies in a menu, header, footer, sidebar, notice, advert,
-form, reader comments or the like, and pages with an article (or main) part of their own have content only there. A text
-that all pages behind a node share word for word is template, too, if they are ``CONSTANT_PAGES`` at least that differ in
-the rest of their main texts: copies count as one page, and a node of fewer pages has no template. Extraction walks each page once by its host's table of paths.
+Paths say beforehand where content can be: not in a menu, header, footer, sidebar, notice, advert, form, reader comments or
+the like, and on pages with an article (or main) part of their own only there. Of these lines the wrapper's constants are
+template, inside an article as elsewhere, if the pages behind their node are ``CONSTANT_PAGES`` at least that differ in the
+rest of their main texts: copies count as one page, and a node of fewer pages has no template. Extraction walks each page
+once by its host's table of paths.
 
 Pages are folded to their skeletons (repeats folded, texts replaced by a hash) before they are shuffled, so a host with a
 third of all pages is as many rows as it has different skeletons and tasks; wrappers merge in two steps, by host and a
@@ -27,7 +29,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -145,18 +148,36 @@ def inside(path: str) -> bool:
     return path.startswith("m:") or "/m:" in path
 
 
-def clean(raw: str) -> str:
-    return " ".join(entities.unescape(raw).split())
+def lines(html: str | None) -> Iterator[list[tuple[str, str, bool]]]:
+    """The texts between two breaks: path, raw text, and whether it is content by the rules of paths."""
+    steps = list(walk(html))
+    article = any(k == "#" and inside(p) and not outside(p) and not t.isspace() for p, k, t in steps)
+    line: list[tuple[str, str, bool]] = []
+    for path, kind, text in steps:
+        if kind == "#":
+            line.append((path, text, not outside(path) and (inside(path) or not article)))
+        elif line:
+            yield line
+            line = []
+    if line:
+        yield line
+
 
+def content_of(line: list[tuple[str, str, bool]]) -> tuple[str | None, str]:
+    """The content of a line as one text, at the path where it begins; the path is None if the line has none."""
+    own = [(p, t) for p, t, content in line if content]
+    return next((p for p, t in own if not t.isspace()), None), "".join(entities.unescape(t) for _, t in own)
 
-def mark(raw: str) -> str:
-    """A short cleaned text itself, a hash of a longer one (with a line break, which no cleaned text has)."""
-    text = clean(raw)
-    return text if len(text) <= 40 else "\n" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
+def mark(text: str) -> str:
+    """A short text itself, a hash of a longer one (with a line break, which no text has here), white space set right."""
+    text = " ".join(text.split())
+    return text if len(text) <= 40 else "\n" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
 
-# The wrapper: a list of nodes ["t", path], ["#", path, constant or None, seen], ["+", nodes], ["?", nodes]; seen holds the
-# marks of the different pages behind the node, or just CONSTANT_PAGES where there are so many
+
+# The wrapper: a list of nodes ["t", path], ["#", path, constant, seen], ["+", nodes], ["?", nodes]. A constant is a
+# text that each page behind the node has there, a list of several such texts (of a repeated node), or None for a slot; seen
+# holds the marks of the different pages behind the node, or just CONSTANT_PAGES where there are so many.
 
 
 def _same(a: list, b: list) -> bool:
@@ -171,8 +192,8 @@ def _key(node: list) -> str:
     return f"{node[0]}{node[1]}" if node[0] in "t#" else f"{node[0]}({' '.join(map(_key, node[1]))})"
 
 
-def fold(nodes: list) -> list:
-    """Adjacent equal runs (of up to 6 nodes) become one repeated group."""
+def fold(nodes: list, texts: Callable = set.intersection) -> list:
+    """Adjacent equal runs (of up to 6 nodes) become one repeated group; texts joins theirs: set.union within a page."""
     for size in range(1, 7):
         out: list = []
         i = 0
@@ -180,14 +201,12 @@ def fold(nodes: list) -> list:
             run = nodes[i : i + size]
             j = i + size
             group = run[0] if size == 1 and run[0][0] == "+" else None
-            body = group[1] if group else run
-            n = 1
+            turns = [group[1] if group else run]
             while len(run) == size and j + size <= len(nodes) and all(_same(a, b) for a, b in zip(run, nodes[j : j + size], strict=True)):
-                body = [merge_node(a, b) for a, b in zip(body, nodes[j : j + size], strict=True)] if not group else [merge_node(a, b) for a, b in zip(body, nodes[j][1], strict=True)]
+                turns.append(nodes[j][1] if group else nodes[j : j + size])
                 j += size
-                n += 1
-            if n > 1:
-                out.append(["+", body])
+            if len(turns) > 1:
+                out.append(["+", [merge_nodes(x, texts) for x in zip(*turns, strict=True)]])
                 i = j
             else:
                 out.append(nodes[i])
@@ -196,12 +215,18 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def merge_nodes(nodes: Sequence[list], texts: Callable) -> list:
+    first = nodes[0]
+    if first[0] == "t":
+        return first
+    if first[0] == "#":
+        found = sorted(texts(*(set() if x[2] is None else {x[2]} if isinstance(x[2], str) else set(x[2]) for x in nodes)))
+        return ["#", first[1], found if len(found) > 1 else found[0] if found else None, reduce(_seen, (x[3] for x in nodes))]
+    return [first[0], [merge_nodes(x, texts) for x in zip(*(x[1] for x in nodes), strict=True)]]
+
+
 def merge_node(a: list, b: list) -> list:
-    if a[0] == "t":
-        return a
-    if a[0] == "#":
-        return ["#", a[1], a[2] if a[2] == b[2] else None, _seen(a[3], b[3])]
-    return [a[0], [merge_node(x, y) for x, y in zip(a[1], b[1], strict=True)]]
+    return merge_nodes((a, b), set.intersection)
 
 
 def _seen(a: list | int, b: list | int) -> list | int:
@@ -254,46 +279,48 @@ def _bare(node: list) -> list:
     return node if node[0] in "t#" else ["+", node[1]]
 
 
-def _merged(a: list, b: list) -> list:
+def _merged(a: list, b: list, texts: Callable = set.intersection) -> list:
     if a[0] == b[0] and _same(a, b):
-        return merge_node(a, b)
+        return merge_nodes((a, b), texts)
     marks = [x[0] for x in (a, b) if x[0] in "+?"]
     x, y = _bare(a), _bare(b)
-    core = merge_node(x, y) if _same(x, y) else x
+    core = merge_nodes((x, y), texts) if _same(x, y) else x
     inner = core[1] if core[0] == "+" else [core]
     return [marks[0] if marks else "+", inner]
 
 
-def meet(a: list, b: list) -> list:
+def meet(a: list, b: list, texts: Callable) -> list:
     """As align, but in no order: each node of a with all nodes of b that look like it, the rest of b as options."""
     own: dict[str, list] = {}
     for x in b:
         key = _key(_bare(x))
-        own[key] = _merged(own[key], x) if key in own else x
+        own[key] = _merged(own[key], x, texts) if key in own else x
     keys = [_key(_bare(x)) for x in a]
     return [_merged(x, own[k]) if k in own else x for x, k in zip(a, keys, strict=True)] + [["?", [x]] for k, x in own.items() if k not in set(keys)]
 
 
 def skeleton(html: str | None) -> list:
-    """A page's folded stream: its texts, each typed by its path; the path holds the tags around it."""
-    texts = [(path, text) for path, kind, text in walk(html) if kind == "#" and not text.isspace()]
-    article = any(inside(p) and not outside(p) for p, _ in texts)
-    marks = [mark(t) for _, t in texts]
-    own = "\t".join(m for (p, _), m in zip(texts, marks, strict=True) if not outside(p) and (inside(p) or not article))
-    seen = [hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()]
-    nodes: list = []
-    for (path, _), text in zip(texts, marks, strict=True):
-        node = ["#", path, text, seen]
-        if nodes and nodes[-1][0] == "+" and nodes[-1][1][0][1] == path:
-            nodes[-1][1][0] = merge_node(nodes[-1][1][0], node)
-        elif nodes and nodes[-1][0] == "#" and nodes[-1][1] == path:
-            nodes[-1] = ["+", [merge_node(nodes[-1], node)]]
-        else:
-            nodes.append(node)
-    return fold(nodes)
-
-
-def slots(nodes: list) -> Iterator[tuple[str, str | None, list | int]]:
+    """A page's folded stream: its lines, each typed by its path; the path holds the tags around it."""
+    runs: list[tuple[str, list[str]]] = []
+    own = []
+    for line in lines(html):
+        path, text = content_of(line)
+        found = [] if path is None else [(path, mark(text))]
+        own += found
+        found += [(p, mark(entities.unescape(t))) for p, t, content in line if not content and not t.isspace()]
+        for path, text in found:
+            if not runs or runs[-1][0] != path:
+                runs.append((path, []))
+            runs[-1][1].append(text)
+    seen = [hashlib.blake2b("\t".join(t for _, t in own).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()]
+    nodes = []
+    for path, texts in runs:
+        node = merge_nodes([["#", path, t, seen] for t in sorted(set(texts))], set.union)
+        nodes.append(node if len(texts) == 1 else ["+", [node]])
+    return fold(nodes, set.union)
+
+
+def slots(nodes: list) -> Iterator[tuple[str, str | list | None, list | int]]:
     for node in nodes:
         if node[0] == "#":
             yield node[1], node[2], node[3]
@@ -311,7 +338,7 @@ class Wrapper:
         if self.nodes is None:
             self.nodes = nodes
         elif len(self.nodes) > ALIGN_TOKENS or len(nodes) > ALIGN_TOKENS:
-            self.nodes = meet(self.nodes, nodes)
+            self.nodes = meet(self.nodes, nodes, set.union if pages == 1 else set.intersection)
         else:
             self.nodes = fold(align(self.nodes, nodes))
         self.pages += pages
@@ -320,8 +347,8 @@ class Wrapper:
         """path -> constants of the template"""
         found: dict[str, set] = {}
         for path, constant, seen in slots(self.nodes or []):
-            if constant is not None and seen == CONSTANT_PAGES and not inside(path):
-                found.setdefault(path, set()).add(constant)
+            if constant is not None and seen == CONSTANT_PAGES:
+                found.setdefault(path, set()).update([constant] if isinstance(constant, str) else constant)
         return found
 
 
@@ -331,14 +358,14 @@ def _encode(nodes: list) -> str:
     return json.dumps(nodes, ensure_ascii=False, separators=(",", ":"))
 
 
-def _blank(nodes: list) -> list:
-    """Without the texts inside the article part, which are never template."""
+def _settled(nodes: list) -> list:
+    """Without the constants that are behind too few pages to be template."""
     out = []
     for x in nodes:
         if x[0] == "#":
-            out.append(["#", x[1], None if inside(x[1]) and not outside(x[1]) else x[2], x[3]])
+            out.append(x if x[3] == CONSTANT_PAGES else ["#", x[1], None, []])
         else:
-            out.append(x if x[0] == "t" else [x[0], _blank(x[1])])
+            out.append(x if x[0] == "t" else [x[0], _settled(x[1])])
     return out
 
 
@@ -351,6 +378,13 @@ def _merge_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "salt": [0], "nodes": [_encode(whole.nodes or [])], "pages": [whole.pages]})
 
 
+def _merge_last(pdf: pd.DataFrame) -> pd.DataFrame:
+    import json
+
+    whole = _merge_rows(pdf)
+    return whole.assign(nodes=[_encode(_settled(json.loads(x))) for x in whole["nodes"]])
+
+
 def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     """(host, nodes, pages): the wrapper of each host as JSON, from all its pages."""
     named = pages.select(url_host(F.col("url")).alias("host"), "html").where("html is not null and html != ''")
@@ -359,7 +393,7 @@ def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
         held: dict[str, Wrapper] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(host, Wrapper()).add(_blank(skeleton(page)), 1)
+                held.setdefault(host, Wrapper()).add(skeleton(page), 1)
             if len(held) >= 5000:
                 yield rows(held)
                 held = {}
@@ -372,26 +406,17 @@ def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     parts = named.mapInArrow(run, "host string, nodes string, pages long").withColumn("salt", F.pmod(F.xxhash64("nodes"), F.lit(salts)).cast("int"))
     schema = "host string, salt int, nodes string, pages long"
     some = parts.groupBy("host", "salt").applyInPandas(_merge_rows, schema)
-    return some.groupBy("host").applyInPandas(_merge_rows, schema).select("host", "nodes", "pages")
+    return some.groupBy("host").applyInPandas(_merge_last, schema).select("host", "nodes", "pages")
 
 
 def read(html: str | None, table: dict[str, set] | None) -> str:
     """The main text of a page by its own parts and its host's template."""
-    if not html:
-        return ""
-    steps = list(walk(html))
-    article = any(k == "#" and inside(p) and not outside(p) and not t.isspace() for p, k, t in steps)
     out = []
-    for path, kind, text in steps:
-        if kind == "|":
-            out.append(" ")
-            continue
-        content = not outside(path) and (inside(path) or not article)
-        if content and table and not article and (constants := table.get(path)):
-            content = mark(text) not in constants
-        if content:
-            out.append(entities.unescape(text))
-    return " ".join("".join(out).split())
+    for line in lines(html):
+        path, text = content_of(line)
+        if path is not None and not (table and (constants := table.get(path)) and mark(text) in constants):
+            out.append(text)
+    return " ".join(" ".join(out).split())
 
 
 def extract(pages: DataFrame, salts: int = SALTS) -> DataFrame:

@@ -317,3 +317,17 @@ def test_wrappers_compare_whole_texts():
 def test_wrappers_merge_long_streams():
     long = "".join(f"<x{k}>same{k}</x{k}>" for k in range(450))
     assert read_all([f"{long}<h6>t{i}</h6>" for i in range(4)]) == [f"t{i}" for i in range(4)]
+
+
+def test_wrappers_find_the_template_inside_the_article(spark):
+    body = "<nav>menu</nav><article><h1>t{i}</h1><p>See <b>one {i}</b>.</p>{more}<p>Read our terms of use, which hold for all texts.</p><div>Share</div></article>"
+    pages = [body.format(i=i, more="<p>more</p>" * (i % 2) + f"<h2>s{i}</h2>") for i in range(5)]
+    want = [f"t{i} See one {i}.{' more' * (i % 2)} s{i}" for i in range(5)]
+    assert read_all(pages) == want
+    assert read_host(spark, pages) == want
+    parts = [wrappers.Wrapper() for _ in range(3)]
+    for i, html in enumerate(pages):
+        parts[i % 3].add(wrappers.skeleton(html), 1)
+    for w in parts[1:]:
+        parts[0].add(w.nodes, w.pages)
+    assert [wrappers.read(html, parts[0].table()) for html in pages] == want
