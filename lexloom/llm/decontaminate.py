@@ -110,7 +110,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_byte
 
         out = add_columns(out, "text", here, work)
         if b:
-            out = out.withColumn("hit_words", F.array_union("hit_words", here[1].name)).withColumn("item_ids", F.array_sort(F.array_union("item_ids", here[2].name))).drop(*(f.name for f in here))
+            out = out.withColumn("hit_words", F.array_sort(F.array_union("hit_words", here[1].name))).withColumn("item_ids", F.array_sort(F.array_union("item_ids", here[2].name))).drop(*(f.name for f in here))
     return out
 
 
@@ -130,10 +130,10 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) ->
     return find_hits(marked, benchmark, n).where(F.size("hit_words") == 0).select("_row.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit words cut out of their texts (with what lies between two hit words); the rest stays as it is."""
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    hits = find_hits(marked, benchmark, n).select("_row", "hit_words", F.struct("text", "hit_words").alias("_cut"))
+    hits = find_hits(marked, benchmark, n, block_bytes).select("_row", "hit_words", F.struct("text", "hit_words").alias("_cut"))
 
     def run(batches):
         for batch in batches:

@@ -331,3 +331,13 @@ def test_wrappers_find_the_template_inside_the_article(spark):
     for w in parts[1:]:
         parts[0].add(w.nodes, w.pages)
     assert [wrappers.read(html, parts[0].table()) for html in pages] == want
+
+
+def test_spans_of_several_blocks_are_cut_in_order(spark):
+    items = [(i, " ".join(f"{c}{k}" for k in range(10))) for i, c in enumerate("abcdef")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(1, f"x {items[i][1]} y {items[j][1]} z") for i in range(6) for j in range(6) if i != j], "doc_id long, text string")
+    assert len([x for x in decontaminate.blocks(b, 40) if x]) > 1
+    for r in decontaminate.find_hits(d, b, block_bytes=40).collect():
+        assert r["hit_words"] == [*range(1, 11), *range(12, 22)]
+    assert {r["text"] for r in decontaminate.remove_spans(d, b, block_bytes=40).collect()} == {"x  y  z"}
