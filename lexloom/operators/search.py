@@ -55,6 +55,19 @@ def top_k(scored: DataFrame, query: str, key: str, top: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def first_hits(gold: DataFrame, ranked: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, first): for each query with gold, the best rank of a gold key, or null if none is ranked."""
+    return gold.join(ranked.select(query, key, "rank"), [query, key], "left").groupBy(query).agg(F.min("rank").alias("first"))
+
+
+def metrics(hits: DataFrame) -> DataFrame:
+    """One row: recall at 1, 3, 5 and 10, mean reciprocal rank and nDCG (binary, first hit only) of first hits."""
+    first = F.col("first")
+    mean = lambda x: F.round(F.avg(F.coalesce(x, F.lit(0.0))), 6)
+    recall = [mean((first <= k).cast("double")).alias(f"r{k}") for k in (1, 3, 5, 10)]
+    return hits.agg(F.count(F.lit(1)).alias("questions"), *recall, mean(1 / first).alias("mrr"), mean(1 / F.log2(first + 1)).alias("ndcg"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

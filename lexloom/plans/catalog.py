@@ -298,6 +298,28 @@ def chunk_uuid(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", chunk.uuid5(F.concat_ws("/", "source", F.col("doc_id").cast("string"), F.lit("1"), F.lit("0"))).alias("chunk_id"))
 
 
+# --- evaluation of the search itself: whole items against the documents that contain them
+
+_BM25_METRICS = f"""WITH {_bm25_sql("true", 10)},
+gold AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+hit AS (SELECT item_id, min(rank) AS f FROM gold LEFT JOIN ranked USING (item_id, doc_id) GROUP BY item_id)
+SELECT {shared_sql._METRICS.replace("1.0D", "1.0::DOUBLE")}"""
+
+
+@query(_BM25_METRICS)
+def retrieval_metrics_bm25(spark, sf_dir):
+    """Recall, reciprocal rank and nDCG of BM25 over all documents."""
+    docs, items = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text")
+    gold = docs.join(F.broadcast(items.withColumnRenamed("text", "_item")), F.contains("text", "_item")).select("item_id", "doc_id")
+    return search.metrics(search.first_hits(gold, search.bm25(items, docs, "item_id", "doc_id", 10), "item_id", "doc_id"))
+
+
+@query(f"SELECT r5 >= 0.90 AND mrr >= 0.75 AS passed FROM ({_BM25_METRICS}) m")
+def quality_gate_bm25(spark, sf_dir):
+    """Whether BM25 passes the gate on recall and reciprocal rank."""
+    return retrieval_metrics_bm25(spark, sf_dir).select(((F.col("r5") >= 0.90) & (F.col("mrr") >= 0.75)).alias("passed"))
+
+
 # --- both engines run the same SQL
 
 for _name, (_spark_sql, _duck_sql) in shared_sql.STATEMENTS.items():
