@@ -5,10 +5,14 @@ Every page becomes a stream of lines (the texts between two breaks of blocks), e
 wrapper, a union-free regular expression:
 
 * adjacent equal runs of lines become a repeated group ``(...)+``;
-* lines that one side lacks become an optional group ``(...)?``;
+* a line that one side lacks becomes an optional group ``(...)?``; options of which one would stand twice between the same
+  two obligatory lines become a repeated group of options ``((a)?(b)?)+``, so a wrapper never outgrows its host's paths;
 * lines that differ become a slot ``#``; a line equal on all pages stays a constant of the template. A repeated line has as
   constants what each page has among its turns.
 
+Streams of any length are aligned in one way, by anchors: lines that are the only ones of their kind on both sides, then
+lines that are the k-th of their kind between two anchors, each time the longest run of pairs in the order of both sides.
+
 Paths say beforehand where content can be: not in a menu, header, footer, sidebar, notice, advert, form, reader comments or
 the like, and on pages with an article (or main) part of their own only there. Of these lines the wrapper's constants are
 template, inside an article as elsewhere, if the pages behind their node are ``CONSTANT_PAGES`` at least that differ in the
@@ -16,12 +20,13 @@ rest of their main texts: copies count as one page, and a node of fewer pages ha
 once by its host's table of paths.
 
 Pages are folded to their skeletons (repeats folded, texts replaced by a hash) before they are shuffled, so a host with a
-third of all pages is as many rows as it has different skeletons and tasks; wrappers merge in two steps, by host and a
-salt, then by host.
+third of all pages is a few rows a task; wrappers merge in rounds of ever fewer salts a host (``SALTS``), so no task has
+more than a small part of a hot host's rows.
 
 Defined results: null and empty html give empty text; unclosed and truncated markup is read as far as it goes; a page
 whose host has no wrapper, or whose tokens its wrapper lacks, goes by the rules of paths alone; repeated rows have equal
-results; white space is what Unicode calls so; columns named like the results are replaced.
+results and count once in the wrapper; very long and very deep pages are read whole, in time proportional to their length;
+white space is what Unicode calls so; columns named like the results are replaced, all others (whatever their names) pass.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -42,9 +49,8 @@ from lexloom.llm.host_reputation import url_host
 from lexloom.llm.store import materialize
 
 CONSTANT_PAGES = 3
-SALTS = 16
-#: Longest stream (folded) that is aligned token by token; longer ones meet node by node in no order.
-ALIGN_TOKENS = 400
+#: Parts of a host's wrapper that are left after each round of merging.
+SALTS = (1024, 32, 1)
 #: Wrappers of up to this size in all are broadcast to the pages; beyond it pages meet them in a shuffle by host.
 BROADCAST_BYTES = 32 << 20
 
@@ -56,19 +62,24 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 #: Elements that end inside no line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose texts are no part of an article.
-OUTSIDE = frozenset("nav header footer aside form button menu dialog head label fieldset".split())
+#: Elements whose texts are no part of an article; a header is, where it stands inside of one.
+OUTSIDE = frozenset("nav header footer aside form button menu dialog head fieldset".split())
 #: Words of class, id and role that name a part outside of the article.
 OUTSIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget footer header masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager copyright skip complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side rail aside widget footer header masthead topbar toolbar comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager copyright skip complementary contentinfo".split()
+)
+#: Words that say nothing of a part beside one of those: "comment-list" is outside, "side-by-side" isn't.
+NEUTRAL_NAMES = frozenset(
+    "js wp id main page site global primary secondary top bottom left right upper lower inner outer box area section wrap wrapper container block panel bar bars list lists item items group holder zone slot unit row col column content link links button buttons icon icons text thread user users reader readers post posts article articles entry story stories".split()
 )
+HEADER_NAMES = frozenset(["header", "masthead", "banner"])
 ARTICLE = frozenset(["article", "main"])
-ARTICLE_NAMES = frozenset("article main content post entry story body".split())
-_WORD = re.compile(r"[a-z]+")
+ARTICLE_NAMES = frozenset("article main post entry story".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def tokens(html: str | None) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, part): kind "<", "/" or "#" (then name is the raw text); part: "x" outside, "m" article, or ""."""
+    """(kind, name, part): kind "<", "/" or "#" (then name is the raw text); part: see ``part_of``."""
     at, html = 0, html or ""
     for m in _TOKEN.finditer(html):
         if m.start() > at:
@@ -81,81 +92,97 @@ def tokens(html: str | None) -> Iterator[tuple[str, str, str]]:
         yield "#", html[at:], ""
 
 
+@lru_cache(1 << 14)
 def part_of(name: str, attributes: str) -> str:
-    if name in OUTSIDE:
-        return "x"
-    words: list[str] = []
+    """"x" outside, "h" a header (outside, but not inside an article), "m" article, or ""; inline elements have no part."""
+    if name in INLINE or name in ("html", "body"):
+        return ""
+    said = "h" if name == "header" else "x" if name in OUTSIDE else ""
+    own = False
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            words += _WORD.findall((m[2] or m[3] or m[4] or "").lower())
+            for token in (m[2] or m[3] or m[4] or "").split():
+                words = {w.lower() for w in _WORD.findall(token) if len(w) > 1}
+                found = words & OUTSIDE_NAMES
+                own |= bool(words & ARTICLE_NAMES) and not found
+                if found and words <= OUTSIDE_NAMES | NEUTRAL_NAMES:
+                    if not found <= HEADER_NAMES:
+                        said = "x"
+                    elif not words & ARTICLE_NAMES:
+                        said = said or "h"
     if name in ARTICLE:
-        return "x" if OUTSIDE_NAMES & set(words) and not ARTICLE_NAMES & set(words) else "m"
-    if name in ("html", "body"):
-        return ""
-    if OUTSIDE_NAMES & set(words):
-        return "x"
-    return ""
+        return "x" if said and not own else "m"
+    return said
 
 
 #: An opening tag of the first kind ends an open element of the second.
 _ENDS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Closing tags that end nothing beyond the part (article or outside) they stand in.
+_WITHIN = frozenset("p li td tr".split())
+
 
+@lru_cache(1 << 16)
+def _step(path: str, segment: str) -> str:
+    """The path one element further: a digest, so that a path is as short at any depth."""
+    return hashlib.blake2b(f"{path}/{segment}".encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
 
-def walk(html: str | None) -> Iterator[tuple[str, str, str]]:
-    """(path, kind, text) of each text ("#") and of each break between blocks ("|"), with well-nested paths.
 
-    A path has the elements that bear on the part ("x:nav", "m:article") and the names of open blocks.
+def walk(html: str | None) -> Iterator[tuple[str, str, bool, bool]]:
+    """(path, text, inside an article, outside) of each text and, with text None, of each break between blocks.
+
+    Elements are nested well: a closing tag ends what stands open in its element, one without its element is passed over.
+    Each tag costs the same at any depth; a path stands for the names of the open blocks and their parts.
     """
-    stack: list[tuple[str, str]] = []
-    path = ""
+    names: list[str] = []
+    paths, articles, outsides = [""], [False], [False]
+    open_at: dict[str, list[int]] = {}
+    walls: list[int] = []
+
+    def close(to: int) -> None:
+        while len(names) > to:
+            open_at[names.pop()].pop()
+            paths.pop(), articles.pop(), outsides.pop()
+        while walls and walls[-1] >= to:
+            walls.pop()
+
     for kind, name, part in tokens(html):
         if kind == "#":
-            yield path, "#", name
+            yield paths[-1], name, articles[-1], outsides[-1]
             continue
-        if name not in INLINE:
-            yield path, "|", ""
+        if name in INLINE:
+            continue
+        yield paths[-1], None, articles[-1], outsides[-1]
         if kind == "<":
             if name in VOID:
                 continue
-            ends = _ENDS.get(name)
-            if ends and stack:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] not in ("p",):
-                        break
-            if name in INLINE and not part:
-                continue
-            stack.append((name, f"{part}:{name}" if part else name))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][1][:2] in ("m:", "x:") and name in ("p", "li", "td", "tr", "span", "b", "i"):
-                    break
-            else:
-                continue
-        path = "/".join(s for _, s in stack)
-
-
-def outside(path: str) -> bool:
-    return path.startswith("x:") or "/x:" in path
-
-
-def inside(path: str) -> bool:
-    return path.startswith("m:") or "/m:" in path
+            if ends := _ENDS.get(name):
+                i = len(names) - 1
+                if i >= 0 and names[i] == "p" and "p" not in ends:
+                    i -= 1
+                if i >= 0 and names[i] in ends:
+                    close(i)
+            if part == "h":
+                part = "" if articles[-1] else "x"
+            if part:
+                walls.append(len(names))
+            open_at.setdefault(name, []).append(len(names))
+            names.append(name)
+            paths.append(_step(paths[-1], f"{part}:{name}"))
+            articles.append(articles[-1] or part == "m")
+            outsides.append(outsides[-1] or part == "x")
+        elif at := open_at.get(name):
+            if name not in _WITHIN or not walls or at[-1] >= walls[-1]:
+                close(at[-1])
 
 
 def lines(html: str | None) -> Iterator[list[tuple[str, str, bool]]]:
     """The texts between two breaks: path, raw text, and whether it is content by the rules of paths."""
     steps = list(walk(html))
-    article = any(k == "#" and inside(p) and not outside(p) and not t.isspace() for p, k, t in steps)
+    article = any(t is not None and m and not x and not t.isspace() for _, t, m, x in steps)
     line: list[tuple[str, str, bool]] = []
-    for path, kind, text in steps:
-        if kind == "#":
-            line.append((path, text, not outside(path) and (inside(path) or not article)))
+    for path, text, inside, outside in steps:
+        if text is not None:
+            line.append((path, text, not outside and (inside or not article)))
         elif line:
             yield line
             line = []
@@ -234,40 +261,90 @@ def _seen(a: list | int, b: list | int) -> list | int:
     return both if both == CONSTANT_PAGES or len(both) < CONSTANT_PAGES else CONSTANT_PAGES
 
 
-def align(a: list, b: list) -> list:
-    """The least general union-free expression (of this kind) that both match: a longest common run of equal nodes, what
-    lies between as optional groups; a group met by its own single turn absorbs it."""
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs (ascending by the first) that ascends by the second, too."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        before[n] = last[k - 1] if k else -1
+        ends[k : k + 1] = [j]
+        last[k : k + 1] = [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def matched(ka: list, kb: list) -> list[tuple[int, int]]:
+    """Places of equal keys in the order of both lists: first those that each list has once, then, between two of them,
+    the k-th of a key in one list with the k-th in the other."""
+    ca, cb = Counter(ka), Counter(kb)
+    once = {k: j for j, k in enumerate(kb) if cb[k] == 1 and ca[k] == 1}
+    anchors = _rising([(i, once[k]) for i, k in enumerate(ka) if k in once])
+    out, i0, j0 = [], 0, 0
+    for i1, j1 in [*anchors, (len(ka), len(kb))]:
+        turn: Counter = Counter()
+        places = {}
+        for j in range(j0, j1):
+            places[kb[j], turn[kb[j]]] = j
+            turn[kb[j]] += 1
+        turn.clear()
+        pairs = []
+        for i in range(i0, i1):
+            if (j := places.get((ka[i], turn[ka[i]]))) is not None:
+                pairs.append((i, j))
+            turn[ka[i]] += 1
+        out += _rising(pairs)
+        if i1 < len(ka):
+            out.append((i1, j1))
+        i0, j0 = i1 + 1, j1 + 1
+    return out
+
+
+def align(a: list, b: list, texts: Callable = set.intersection) -> list:
+    """A union-free expression that both match: equal nodes in the order of both sides, what lies between as options."""
     if len(a) == len(b) and all(_same(x, y) for x, y in zip(a, b, strict=True)):
         return [merge_node(x, y) for x, y in zip(a, b, strict=True)]
-    ka, kb = [_key(_bare(x)) for x in a], [_key(_bare(x)) for x in b]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if ka[i] == kb[j] else max(below[j], row[j + 1])
-    out, i, j = [], 0, 0
-    left: list = []
-    right: list = []
+    out, i0, j0 = [], 0, 0
+    for i, j in [*matched([_key(_bare(x)) for x in a], [_key(_bare(x)) for x in b]), (len(a), len(b))]:
+        out += [x if x[0] == "?" or _any_order(x) else ["?", [x]] for x in a[i0:i] + b[j0:j]]
+        if i < len(a):
+            out.append(_merged(a[i], b[j]))
+        i0, j0 = i + 1, j + 1
+    return _gaps(out, texts)
+
+
+def _any_order(node: list) -> bool:
+    """Whether a node is a repeated group of options."""
+    return node[0] == "+" and all(x[0] == "?" for x in node[1])
+
+
+def _gaps(nodes: list, texts: Callable) -> list:
+    """nodes with each run of options in which a key stands twice as one repeated group of options, a key once."""
+    out: list = []
+    gap: list = []
 
     def flush() -> None:
-        for side in (left, right):
-            if side:
-                out.append(side[0] if len(side) == 1 and side[0][0] == "?" else ["?", [y for x in side for y in (x[1] if x[0] == "?" else [x])]])
-        left.clear()
-        right.clear()
-
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            flush()
-            out.append(_merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            left.append(a[i])
-            i += 1
+        flat = [y for x in gap for y in (x[1] if _any_order(x) else [x])]
+        own: dict[str, list] = {}
+        for x in flat:
+            key = _key(_bare(x))
+            own[key] = ["?", [merge_nodes((own[key][1][0], x[1][0]), texts) if _same(own[key][1][0], x[1][0]) else _merged(own[key][1][0], x[1][0], texts)]] if key in own else x
+        if len(own) < len(flat) or any(map(_any_order, gap)):
+            out.append(["+", list(own.values())])
+        else:
+            out.extend(gap)
+        gap.clear()
+
+    for x in nodes:
+        if x[0] == "?" or _any_order(x):
+            gap.append(x)
         else:
-            right.append(b[j])
-            j += 1
+            flush()
+            out.append(x)
     flush()
     return out
 
@@ -282,21 +359,13 @@ def _bare(node: list) -> list:
 def _merged(a: list, b: list, texts: Callable = set.intersection) -> list:
     if a[0] == b[0] and _same(a, b):
         return merge_nodes((a, b), texts)
-    marks = [x[0] for x in (a, b) if x[0] in "+?"]
+    optional = "?" in (a[0], b[0])
+    repeated = any(x[0] == "+" or (x[0] == "?" and x[1][0][0] == "+") for x in (a, b))
     x, y = _bare(a), _bare(b)
     core = merge_nodes((x, y), texts) if _same(x, y) else x
-    inner = core[1] if core[0] == "+" else [core]
-    return [marks[0] if marks else "+", inner]
-
-
-def meet(a: list, b: list, texts: Callable) -> list:
-    """As align, but in no order: each node of a with all nodes of b that look like it, the rest of b as options."""
-    own: dict[str, list] = {}
-    for x in b:
-        key = _key(_bare(x))
-        own[key] = _merged(own[key], x, texts) if key in own else x
-    keys = [_key(_bare(x)) for x in a]
-    return [_merged(x, own[k]) if k in own else x for x, k in zip(a, keys, strict=True)] + [["?", [x]] for k, x in own.items() if k not in set(keys)]
+    if core[0] != "+" and repeated:
+        core = ["+", [core]]
+    return ["?", [core]] if optional else core
 
 
 def skeleton(html: str | None) -> list:
@@ -337,8 +406,6 @@ class Wrapper:
     def add(self, nodes: list, pages: int) -> None:
         if self.nodes is None:
             self.nodes = nodes
-        elif len(self.nodes) > ALIGN_TOKENS or len(nodes) > ALIGN_TOKENS:
-            self.nodes = meet(self.nodes, nodes, set.union if pages == 1 else set.intersection)
         else:
             self.nodes = fold(align(self.nodes, nodes))
         self.pages += pages
@@ -385,7 +452,7 @@ def _merge_last(pdf: pd.DataFrame) -> pd.DataFrame:
     return whole.assign(nodes=[_encode(_settled(json.loads(x))) for x in whole["nodes"]])
 
 
-def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def infer(pages: DataFrame, salts: Sequence[int] = SALTS) -> DataFrame:
     """(host, nodes, pages): the wrapper of each host as JSON, from all its pages."""
     named = pages.select(url_host(F.col("url")).alias("host"), "html").where("html is not null and html != ''")
 
@@ -403,10 +470,11 @@ def infer(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     def rows(held: dict[str, Wrapper]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([_encode(w.nodes) for w in held.values()]), pa.array([w.pages for w in held.values()], pa.int64())], names=["host", "nodes", "pages"])
 
-    parts = named.mapInArrow(run, "host string, nodes string, pages long").withColumn("salt", F.pmod(F.xxhash64("nodes"), F.lit(salts)).cast("int"))
-    schema = "host string, salt int, nodes string, pages long"
-    some = parts.groupBy("host", "salt").applyInPandas(_merge_rows, schema)
-    return some.groupBy("host").applyInPandas(_merge_last, schema).select("host", "nodes", "pages")
+    parts = named.mapInArrow(run, "host string, nodes string, pages long")
+    for k, n in enumerate(salts):
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("nodes"), F.lit(n)).cast("int"))
+        parts = salted.groupBy("host", "salt").applyInPandas(_merge_last if k == len(salts) - 1 else _merge_rows, "host string, salt int, nodes string, pages long")
+    return parts.select("host", "nodes", "pages")
 
 
 def read(html: str | None, table: dict[str, set] | None) -> str:
@@ -419,32 +487,28 @@ def read(html: str | None, table: dict[str, set] | None) -> str:
     return " ".join(" ".join(out).split())
 
 
-def extract(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def extract(pages: DataFrame, salts: Sequence[int] = SALTS) -> DataFrame:
     """pages with text and n_chars."""
     import json
 
-    keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    wrappers = materialize(infer(pages, salts)).select(F.col("host").alias("_host"), F.struct("nodes", "pages").alias("_w"))
-    if (wrappers.agg(F.sum(F.octet_length("_w.nodes") + 200)).first()[0] or 0) <= BROADCAST_BYTES:
+    wrappers = materialize(infer(pages, salts)).select(F.col("host").alias("_host"), F.col("nodes").alias("_nodes"))
+    if (wrappers.agg(F.sum(F.octet_length("_nodes") + 200)).first()[0] or 0) <= BROADCAST_BYTES:
         wrappers = F.broadcast(wrappers)
-    met = pages.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col("url")).alias("_host")).join(wrappers, "_host", "left").select(*keep, "_w.nodes", "_w.pages")
-    met = met.toDF(*keep, "_nodes", "_pages")
-    at = keep.index("html")
+    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("html").alias("_html"), url_host(F.col("url")).alias("_host"))
+    met = rows.join(wrappers, "_host", "left").select("_row", "_html", "_nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[tuple, dict] = {}
+        tables: dict[str, dict] = {}
         for batch in batches:
             texts = []
-            for html, nodes, n in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
-                table = None
-                if nodes is not None:
-                    if nodes not in tables:
-                        if len(tables) > 200:
-                            tables.clear()
-                        tables[nodes] = Wrapper(json.loads(nodes), n).table()
-                    table = tables[nodes]
-                texts.append(read(html, table))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
-
-    fields = [*met.schema.fields[: len(keep)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return met.mapInArrow(run, T.StructType(fields))
+            for html, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if nodes is not None and nodes not in tables:
+                    if len(tables) > 200:
+                        tables.clear()
+                    tables[nodes] = Wrapper(json.loads(nodes)).table()
+                texts.append(read(html, tables.get(nodes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_row", "_text", "_n"])
+
+    read_rows = met.mapInArrow(run, T.StructType([met.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_n", T.LongType())]))
+    return read_rows.select(*[F.col(f"_row.`{c}`") for c in kept], F.col("_text").alias("text"), F.col("_n").alias("n_chars"))
