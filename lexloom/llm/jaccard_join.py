@@ -11,16 +11,19 @@
    which bounds the overlap from above; pairs below the bound for t go.
 4. *Exact step.* The rest is decided on the sorted arrays.
 
-Not all pairs of a tile are compared at once. Star rounds compare each class with one leader of its tile; linked
-classes become one component, and later rounds take leaders of the other components. A last step compares what is
-left across components, so a group of thousands of near copies costs a few comparisons a member and no link between
-components is lost. A shingle that still stands in more than ``HOT`` components (a passage that many texts share) is
-put last in the order of shingles: the prefixes of the texts that hold it are extended by as many others. The order
-of shingles is free, so this changes the work and never the result.
+Shingles found in the prefixes of the same classes (the shingles of a passage that many texts share) make the same tiles;
+one of them is kept. Not all pairs of a tile are compared at once either. A star round compares each class with leaders of
+its tile; linked classes become one component. A last step compares, in each tile, the members outside of its largest
+component with all others, across components, so a group of thousands of near copies costs a few comparisons a member and
+no link between components is lost. A shingle whose tile would still take more than ``HOT_PAIRS`` comparisons is put last
+in the order of shingles: the prefixes of the texts that hold it are extended by as many others, which are tested for heat
+in their turn (``HOT_ROUNDS``). The order of shingles is free, so this changes the work and never the result; of more
+than ``HOT_SHINGLES`` the hottest are put last, the others' tiles are compared as they are.
 
 Defined results: null and empty texts (no words) have an empty set and are linked with nothing; fewer than five words
-are one shingle, the whole sequence; repeated doc_ids are one document of each text; a null doc_id is its own document
-with a null component; extra columns play no part.
+are one shingle, the whole sequence; repeated rows are one document, and a doc_id with several texts is a document of each
+text; a null doc_id is its own document with a null component; an empty table gives no rows; extra columns, whatever their
+names, play no part. doc_id is a whole number; other types are an error (ValueError), as a component's id is the least one.
 """
 
 from __future__ import annotations
@@ -38,13 +41,13 @@ from lexloom.llm.store import add_columns, materialize, release
 
 WIDTH = 5
 PERCENT = 75
-STAR_ROUNDS = 1
 #: 64-bit words of the short bitmap that goes with a class into the tiles' own comparison.
 WORDS = 8
-#: Components that share a shingle from which it is put last in the order.
-HOT = 48
-#: Most hot shingles that are broadcast (8 bytes each); beyond it none is put last, and the result is the same.
-HOT_LIMIT = 4_000_000
+#: Comparisons of a tile from which its shingle is put last in the order.
+HOT_PAIRS = 4000
+#: Rounds in which shingles are put last, and most of them that are broadcast (8 bytes each), the hottest first.
+HOT_ROUNDS = 3
+HOT_SHINGLES = 1_000_000
 #: Most rows of 8 bytes that are broadcast to a join; beyond it Spark chooses, by what it measures.
 BROADCAST_ROWS = 500_000
 #: Pairs of a batch in the exact step: each brings two arrays, of 160 KB for a text of 20,000 words.
@@ -99,12 +102,8 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
         return int(tb.mix(x).sum().astype(np.int64)), int(tb.mix(x ^ tb.MULTIPLIERS[50]).sum().astype(np.int64))
 
 
-def sketch(docs: DataFrame, with_prefix: bool, hot=None, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 of each row; with_prefix: also the bitmap and the prefix.
-
-    hot: a broadcast sorted array of shingles that come last in the order. Then ``prefix`` holds, only for texts with a
-    hot shingle in their first prefix, what the new prefix has besides the old one's shingles that aren't hot.
-    """
+def sketch(docs: DataFrame, with_prefix: bool, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 of each row; with_prefix: also the bitmaps and the prefix."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
     if with_prefix:
         fields += [T.StructField("bits", T.BinaryType()), T.StructField("short", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))]
@@ -120,8 +119,6 @@ def sketch(docs: DataFrame, with_prefix: bool, hot=None, percent: int = PERCENT)
                 if with_prefix:
                     k = prefix_length(len(x), percent)
                     p = x[:k]
-                    if hot is not None:
-                        p = _extension(x, k, hot.value)
                     bits.append(bitmap(x))
                     short.append(short_bitmap(x))
                     prefix.append(p)
@@ -135,6 +132,23 @@ def sketch(docs: DataFrame, with_prefix: bool, hot=None, percent: int = PERCENT)
     return add_columns(docs.select("doc_id", "text"), "text", fields, work).drop("text")
 
 
+def extensions(docs: DataFrame, hot, percent: int = PERCENT) -> DataFrame:
+    """(shingle, doc_id, n): what prefixes have besides their first one's shingles that aren't hot, where the shingles of the
+    broadcast sorted array ``hot`` come last in the order."""
+
+    def work(column: pa.Array) -> list[pa.Array]:
+        sizes, parts = [], []
+        for _, _, data, off in tb.runs(column):
+            for x in shingle_sets(data, off):
+                sizes.append(len(x))
+                parts.append(_extension(x, prefix_length(len(x), percent), hot.value))
+        joined = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return [pa.array(sizes, pa.int64()), tb.list_array(joined.astype(np.int64), np.array([len(p) for p in parts], np.int64), pa.int64())]
+
+    added = add_columns(docs.select("doc_id", "text"), "text", [T.StructField("n", T.LongType()), T.StructField("added", T.ArrayType(T.LongType()))], work)
+    return added.select(F.explode("added").alias("shingle"), "doc_id", "n")
+
+
 def _extension(x: np.ndarray, k: int, hot: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
     is_hot = hot[at] == x
@@ -148,15 +162,24 @@ def _band(n: str):
     return F.floor(F.log(F.col(n).cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
 
 
-def shared_postings(prefixes: DataFrame) -> DataFrame:
-    """(c, n, prefix) -> (shingle, c, n) of the shingles that stand in two prefixes or more.
+def shared_postings(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shingle, c, n) -> the same of one shingle of each set of classes (two or more) that share it, and
+    (shingle, kept): all shared shingles, each with the one that stands for its set.
 
-    Counts come first, with partial sums, so a shingle of a hot group is a few rows in the shuffle; only then are the
-    postings of the shared ones picked by a join, whose skew adaptive execution can split.
+    Counts and digests of the sets come first, with partial sums, so a shingle of a hot group is a few rows in the shuffle;
+    only then are the postings of the kept ones picked by a join, whose skew adaptive execution can split.
     """
-    flat = prefixes.select(F.explode("prefix").alias("shingle"), "c", "n")
-    shared = flat.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
-    return flat.join(shared, "shingle", "left_semi")
+    sets = flat.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit("set"), "c")).alias("y")).where("lo < hi")
+    groups = materialize(sets)
+    one = groups.groupBy("lo", "hi", "k", "x", "y").agg(F.min("shingle").alias("kept"))
+    named = materialize(groups.join(one, ["lo", "hi", "k", "x", "y"]).select("shingle", "kept"))
+    kept = named.where("shingle = kept").select("shingle")
+    return materialize(flat.join(_small(kept), "shingle", "left_semi")), named
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Marks written rows of 8 bytes for a broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def _size_fits(n: str, m: str):
@@ -259,26 +282,36 @@ def _with_component(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star(tiled: DataFrame) -> DataFrame:
-    """Pairs of each class with one home class of its tile: the least component's least class, where that differs."""
+    """Pairs of each class with two home classes of its tile, of the least and the greatest component, where they differ."""
     lead = tiled.where("home").groupBy("shingle", "band").agg(F.min(F.struct("comp", "c", "n")).alias("l"), F.max(F.struct("comp", "c", "n")).alias("r"))
     met = tiled.join(lead, ["shingle", "band"])
-    one = lambda x: met.where(F.col("comp") != F.col(f"{x}.comp")).select(F.col("c"), F.col(f"{x}.c").alias("d"), F.col("n"), F.col(f"{x}.n").alias("m"))
-    return _pairs(one("l").unionByName(one("r")))
+    both = met.select("c", "n", "comp", F.explode(F.array_distinct(F.array("l", "r"))).alias("x"))
+    return _pairs(both.where(F.col("comp") != F.col("x.comp")).select("c", F.col("x.c").alias("d"), "n", F.col("x.n").alias("m")))
+
+
+def _largest(tiled: DataFrame) -> DataFrame:
+    """(shingle, band, major, work) of the tiles with members of several components and a home class: the component with
+    most members, and the comparisons of the others with all."""
+    sizes = tiled.groupBy("shingle", "band", "comp").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("owned"))
+    tiles = sizes.groupBy("shingle", "band").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("k"), F.max("owned").alias("owned"))
+    return tiles.where(F.col("owned") & (F.col("k") > F.col("m.k"))).select("shingle", "band", F.col("m.comp").alias("major"), ((F.col("k") - F.col("m.k")) * F.col("k")).alias("work"))
 
 
 def _cross(tiled: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a home class with all classes of its tile that are of other components, as far as the short bitmaps allow.
+    """Pairs of a tile's members outside of its largest component with all members of other components, as far as the
+    short bitmaps allow.
 
     The bitmaps are compared inside the join, so a pair that they rule out is never a row.
     """
-    mixed = tiled.groupBy("shingle", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("home").alias("owned")).where("lo < hi and owned").select("shingle", "band")
+    mixed = materialize(_largest(tiled))
     words = classes.select("c", *[F.col("short")[i].alias(f"s{i}") for i in range(WORDS)])
-    rest = tiled.join(mixed, ["shingle", "band"], "left_semi").join(words, "c")
-    home = rest.where("home").select("shingle", "band", F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("other"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
+    rest = tiled.join(mixed.select("shingle", "band", "major"), ["shingle", "band"])
+    rest = materialize(rest.join(words, "c"))
+    minor = rest.where("comp != major").select("shingle", "band", F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("home").alias("owned"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
     differing = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
     # at most (n + m - differing) / 2 shingles are in both
     allowed = (100 - PERCENT) * (F.col("n") + F.col("m")) >= (100 + PERCENT) * differing
-    met = rest.join(home, ["shingle", "band"]).where((F.col("comp") != F.col("other")) & (~F.col("home") | (F.col("c") < F.col("d"))) & _size_fits("n", "m") & allowed)
+    met = rest.join(minor, ["shingle", "band"]).where((F.col("comp") != F.col("other")) & (F.col("home") | F.col("owned")) & _size_fits("n", "m") & allowed)
     return _pairs(met.select("c", "d", "n", "m"))
 
 
@@ -286,16 +319,19 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.where(_size_fits("n", "m")).select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
-def join(docs: DataFrame, star_rounds: int = STAR_ROUNDS, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def join(docs: DataFrame, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, links, components): doc_id, n_shingles and class c of each document (c null where the set is empty);
-    the verified links (a, b) between classes, which connect all that is linked; (c, comp) of the linked classes."""
+    the verified links (a, b) between classes, which connect all that is linked; (c, comp) of the linked classes.
+
+    A class is named by its least doc_id, so each doc_id must have one text (``component_ids`` sees to it)."""
     docs = docs.select("doc_id", "text")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketched = sketch(known, True)
     classes = sketched.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "bits", "short", "prefix")).alias("r"))
-    classes = materialize(classes.select(F.col("r.doc_id").alias("c"), F.col("n_shingles").alias("n"), "d1", "d2", "r.bits", "r.short", "r.prefix"))
-    verifier = Verifier(_distinct_rows(known).join(classes.select(F.col("c").alias("doc_id")).distinct(), "doc_id", "left_semi"), classes)
-    postings = materialize(shared_postings(classes.select("c", "n", "prefix")))
+    classes = materialize(classes.select(F.col("r.doc_id").cast("long").alias("c"), F.col("n_shingles").alias("n"), "d1", "d2", "r.bits", "r.short", "r.prefix"))
+    verifier = Verifier(known.join(classes.select(F.col("c").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if _repeats(known) else known.join(classes.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), classes)
+    flat = classes.select(F.explode("prefix").alias("shingle"), "c", "n")
+    postings, named = shared_postings(flat)
     seen: DataFrame | None = None
     found: DataFrame | None = None
     comps: DataFrame | None = None
@@ -312,24 +348,31 @@ def join(docs: DataFrame, star_rounds: int = STAR_ROUNDS, hot: int = HOT) -> tup
         found = links if found is None else found.unionByName(links)
         comps = materialize(components(found))
 
-    for _ in range(star_rounds):
-        compare(_star(_tiled(postings, comps)))
-    busy = _with_component(postings, comps).groupBy("shingle").agg(F.count_distinct("comp").alias("k")).where(F.col("k") > hot).select("shingle")
-    busy = materialize(busy)
-    if 0 < busy.count() <= HOT_LIMIT:
-        last = np.sort(np.array([r[0] for r in busy.collect()], np.int64).view(np.uint64))
-        shared = docs.sparkSession.sparkContext.broadcast(last)
-        more = sketch(verifier.docs, True, shared).where(F.size("prefix") > 0).select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), "prefix")
-        cold = postings.join(busy, "shingle", "left_anti")
-        added = materialize(more.select(F.explode("prefix").alias("shingle"), "c", "n"))
-        # an added shingle can also stand in a first prefix, where it was alone until now
-        names = added.select("shingle").distinct()
-        names = F.broadcast(names) if added.count() <= BROADCAST_ROWS else names
-        alone = classes.select(F.explode("prefix").alias("shingle"), "c", "n").join(names, "shingle", "left_semi").join(busy, "shingle", "left_anti")
-        old, postings = postings, materialize(cold.unionByName(added).unionByName(alone).distinct())
-        release(old, added)
-        compare(_star(_tiled(postings, comps)))
-    compare(_cross(_tiled(postings, comps), classes))
+    compare(_star(_tiled(postings, comps)))
+    now, groups = postings, named
+    hot: np.ndarray = np.zeros(0, np.uint64)
+    for _ in range(HOT_ROUNDS):
+        heat = _largest(_tiled(now, comps)).groupBy(F.col("shingle").alias("kept")).agg(F.sum("work").alias("work")).where(F.col("work") > hot_pairs)
+        busy = groups.join(heat, "kept").orderBy(F.desc("work"), "shingle").select("shingle").limit(HOT_SHINGLES - len(hot)).toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+        fresh = np.union1d(hot, busy)
+        if len(fresh) == len(hot):
+            break
+        hot = fresh
+        shared = docs.sparkSession.sparkContext.broadcast(hot)
+        last = _small(docs.sparkSession.createDataFrame(pa.table({"shingle": pa.array(hot.view(np.int64))})))
+        cooled = materialize(flat.join(last, "shingle", "left_semi").select(F.col("c").alias("doc_id")).distinct())
+        added = materialize(extensions(verifier.docs.join(_small(cooled), "doc_id", "left_semi"), shared).select("shingle", F.col("doc_id").alias("c"), "n"))
+        # an added shingle can also stand in a first prefix
+        names = _small(added.select("shingle").distinct())
+        touched = added.unionByName(flat.join(names, "shingle", "left_semi").join(last, "shingle", "left_anti")).distinct()
+        extended, others = shared_postings(touched)
+        cold = postings.join(last, "shingle", "left_anti")
+        now = materialize(cold.unionByName(extended).distinct())
+        groups = named.join(last, "shingle", "left_anti").unionByName(others).distinct()
+        release(added, cooled)
+    if len(hot):
+        compare(_star(_tiled(now, comps)))
+    compare(_cross(_tiled(now, comps), classes))
     members = sketch(docs.where(F.col("text").isNotNull()), False).unionByName(docs.where(F.col("text").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("d1"), F.lit(None).cast("long").alias("d2")))
     named = classes.select("c", F.col("n").alias("n_shingles"), "d1", "d2")
     members = members.join(named, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "c")
@@ -344,23 +387,59 @@ def _tiled(postings: DataFrame, comps: DataFrame | None) -> DataFrame:
     return own.select("shingle", "c", "n", "comp", F.explode(F.array(F.struct(F.col("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("t")).select("shingle", "t.band", "c", "n", "comp", "t.home")
 
 
-def _distinct_rows(docs: DataFrame) -> DataFrame:
-    """docs without repeated rows; texts are shuffled for it only if some doc_id occurs twice."""
-    twice = docs.groupBy("doc_id").count().where(F.col("count") > 1)
-    return docs if twice.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
+
+
+def _documents(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(_key, doc_id, text): documents, each with a key of its own, and whether the keys are other than the doc_ids.
+
+    Only if some doc_id has several rows are texts shuffled, to find its different ones; their keys are written down, so
+    that they are the same in every stage that reads them.
+    """
+    if docs.schema["doc_id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        raise ValueError(f"doc_id must be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not _repeats(rows):
+        return rows.select(F.col("doc_id").alias("_key"), "doc_id", "text"), False
+    once = rows.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return materialize(once.withColumn("_key", F.monotonically_increasing_id()).select("_key", "doc_id", "text")), True
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(_key, n_shingles, comp) of the documents, comp by keys; the documents; whether these have keys of their own."""
+    keyed, own = _documents(docs)
+    members, _, comps = join(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    return members.join(comps, "c", "left").select(F.col("doc_id").alias("_key"), "n_shingles", F.coalesce("comp", "c", "doc_id").alias("comp")), keyed, own
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    members, _, comps = join(docs)
-    return members.join(comps, "c", "left").select("doc_id", "n_shingles", F.coalesce("comp", "c", "doc_id").alias("component_id"))
+    members, keyed, own = _members(docs)
+    if not own:
+        return members.select(F.col("_key").alias("doc_id"), "n_shingles", F.col("comp").alias("component_id"))
+    named = materialize(members.join(keyed, "_key"))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    rows = named.join(least, "comp").select("doc_id", "text", "n_shingles", "component_id")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    alone = sketch(ids.where("doc_id is null"), False).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    met = ids.where("doc_id is not null").alias("i").join(rows.alias("r"), (F.col("i.doc_id") == F.col("r.doc_id")) & F.col("i.text").eqNullSafe(F.col("r.text")))
+    return met.select("r.doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component (that of the smallest doc_id) and all rows that are linked with nothing."""
-    members, _, comps = join(docs)
-    first = members.join(comps, "c", "left").select("doc_id", F.coalesce("comp", "c", "doc_id").alias("component_id")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component: that of the smallest doc_id, of its texts the first by hash, of equal rows the
+    first by the hash of all columns. What is linked with nothing stays (an id with two such texts keeps both), and all
+    rows without doc_id."""
+    members, keyed, own = _members(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+    alone = rows.where("_id is null").select("_row")
+    if not own:
+        first = members.where("_key = comp").select(F.col("_key").alias("_id"))
+        return rows.where("_id is not null").join(first, "_id", "left_semi").select("_row").unionByName(alone).select("_row.*")
+    named = members.join(keyed, "_key")
+    first = materialize(named.groupBy("comp").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", F.xxhash64("text"), "_key")).alias("f")).select("f.*"))
+    met = rows.alias("i").join(first.alias("f"), (F.col("_id") == F.col("f.doc_id")) & F.col("_text").eqNullSafe(F.col("f.text")))
+    once = met.groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return once.select("_row").unionByName(alone).select("_row.*")
