@@ -2,12 +2,16 @@
 
 score = sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of a text, so that a pair (an insult and
 the mention of a group) can weigh more than its parts. The fit takes at most ``ROWS_PER_CLASS`` labelled rows of each
-class. Terms whose counts don't differ between the classes beyond chance (a G test) get no parameters: what is left is
-few hundred slots, and ordinary words of long texts add no noise. Scoring is one narrow pass over whole texts.
+class and ``store.SAMPLE_BYTES`` of text. Terms get parameters if their own counts differ between the classes beyond chance
+(a G test), or if they are one of a pair whose joint counts differ beyond chance and by more than either term's own: a term as
+frequent in both classes that is toxic only beside another one is found by its pairs. Pairs are counted, all at once, among
+the ``PAIR_TERMS`` terms of the sample with most rows. What is left is a few hundred slots, and ordinary words of long
+texts add no noise. Scoring is one narrow pass over whole texts.
 
 Defined results: null and empty texts have no terms and get the score of the bias; labels that are null or neither 0 nor
 1 are skipped, a doc_id labelled twice counts once with its lower label; without rows of both classes every score is the
-smoothed share of label 1; columns named like the results are replaced.
+smoothed share of label 1; repeated rows have equal scores; very long texts are scored whole; an empty table gives no rows;
+columns named like the results are replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ THRESHOLD = 0.7
 #: Least G of a term that gets parameters (chi-square of one degree: 1 in 10,000 is 15.1).
 LEAST_G = 15.0
 LEAST_ROWS = 3
+#: Terms of the sample among which pairs are counted, least G of a pair, and by how much it must pass its terms' own.
+PAIR_TERMS = 1024
+LEAST_PAIR_G = 30.0
+PAIR_GAIN = 15.0
 
 
 @dataclass
@@ -52,12 +60,8 @@ class Model:
         return float(ft.sigmoid(self.margin(x) + self.offset))
 
 
-def _g_test(rows: list[np.ndarray], y: np.ndarray, slots: int) -> np.ndarray:
-    """G of each slot's presence against the classes; 0 where the slot is in too few rows."""
-    p, q = np.zeros(slots), np.zeros(slots)
-    for x, label in zip(rows, y, strict=True):
-        (p if label else q)[x] += 1
-    n, m = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+def _g(p: np.ndarray, q: np.ndarray, n: int, m: int) -> np.ndarray:
+    """G of the presence in p of n toxic and q of m other rows against the classes; 0 where that is too few rows."""
     share = (p + q) / (n + m)
 
     def term(o, e):
@@ -67,13 +71,40 @@ def _g_test(rows: list[np.ndarray], y: np.ndarray, slots: int) -> np.ndarray:
     return np.where(p + q >= LEAST_ROWS, g, 0)
 
 
+def chosen_terms(rows: list[np.ndarray], y: np.ndarray, slots: int) -> np.ndarray:
+    """The slots that get parameters, by their own counts or by those of their pairs."""
+    p, q = np.zeros(slots), np.zeros(slots)
+    for x, label in zip(rows, y, strict=True):
+        (p if label else q)[x] += 1
+    n, m = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    own = _g(p, q, n, m)
+    single = own >= LEAST_G
+    frequent = np.argsort(-(p + q), kind="stable")[:PAIR_TERMS]
+    frequent = np.sort(frequent[p[frequent] + q[frequent] >= LEAST_ROWS])
+    place = np.full(slots, -1)
+    place[frequent] = np.arange(len(frequent))
+    has = np.zeros((len(rows), len(frequent)), np.float32)
+    for i, x in enumerate(rows):
+        at = place[x]
+        has[i, at[at >= 0]] = 1
+    # counts up to 2^24 are whole numbers in single precision
+    joint = [has[y == label].T @ has[y == label] for label in (1, 0)]
+    for i in range(len(frequent)):
+        g = _g(joint[0][i].astype(float), joint[1][i].astype(float), n, m)
+        found = (g >= LEAST_PAIR_G) & (g >= np.maximum(own[frequent[i]], own[frequent]) + PAIR_GAIN)
+        found[i] = False
+        if found.any():
+            single[frequent[i]] = True
+    return np.flatnonzero(single)
+
+
 def fit(samples: list[tuple[str, int]], share: float, slots: int = SLOTS, factors: int = FACTORS, rounds: int = 12, rate: float = 0.1, decay: float = 1e-3, seed: int = 11) -> Model:
     """Adagrad on the logistic loss, rows of both classes weighing the same; share: of label 1 among all labelled rows."""
     y = np.array([label for _, label in samples], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.full(slots, -1, np.int32), 0.0, np.zeros(0), np.zeros((0, factors)), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rows = [ft.of_text(t, ft.terms, slots) for t, _ in samples]
-    chosen = np.flatnonzero(_g_test(rows, y, slots) >= LEAST_G)
+    chosen = chosen_terms(rows, y, slots)
     index = np.full(slots, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     rows = [r[r >= 0] for r in (index[x] for x in rows)]
