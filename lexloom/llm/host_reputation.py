@@ -1,7 +1,7 @@
 """URL filter by empirical-Bayes host reputation, with domain rules.
 
-Labelled page outcomes (good or bad) are counted by host, registered domain (the last two labels of the host) and suffix
-(the last label). Each level is shrunk to the one above through a beta-binomial prior:
+Labelled page outcomes (good or bad) are counted by host, registered domain (the suffix and the label before it) and suffix
+(the last label, or two labels where those are a public suffix, a parameter). Each level is shrunk to the one above through a beta-binomial prior:
 
     mean = (good + strength * mean of the level above) / (n + strength)
 
@@ -11,19 +11,28 @@ than chance give a strong prior, units that differ much a weak one. A url is blo
 host without labels has its domain's posterior, else its suffix's, else the overall one. Rules come first; the longest
 that fits wins.
 
-All is sums and equi-joins; labels meet pages by the document number in the url's path. A hot host is a few partial sums
-and one row of the table that pages are joined with, and its pages may be split by adaptive execution.
+All is sums and equi-joins. Which label belongs to a page is a parameter, too: by default labels of documents meet pages by
+the number that ends the url's path. Outcomes are counted once, by host, and written; the levels are sums of that table. A hot
+host is a few partial sums and one row of the table that pages are joined with, and its pages may be split by adaptive
+execution.
 
 Defined results: null urls and urls without "://" have an empty host and path, no rule, and the overall posterior; pages
 without labels count nowhere; repeated rows count as often as they occur; labels that are null are no outcome; without any
-label the prior is uniform and all is allowed; columns named like the results are replaced.
+label the prior is uniform and all is allowed; an empty table gives no rows; columns named like the results are replaced, all
+others pass, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.store import materialize, quoted
+
+#: Suffixes of two labels under which names are registered; all others have one label.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "co.in", "co.za", "com.br", "com.cn", "com.mx")
 #: (rule, verdict): host, a slash, and the path's beginning.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 LIMIT = 0.5
@@ -56,55 +65,70 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return rule, verdict
 
 
-def _parts(df: DataFrame) -> DataFrame:
-    labels = F.split("host", r"\.")
-    return df.withColumn("_suffix", F.element_at(labels, -1)).withColumn("_domain", F.when(F.size(labels) > 1, F.concat_ws(".", F.element_at(labels, -2), F.element_at(labels, -1))).otherwise(F.col("host")))
+def page_number(path: Column) -> Column:
+    """The number that ends a path (before an extension), which the labels of documents are met by."""
+    return F.regexp_extract(path, r"/([0-9]+)[^/]*/?$", 1).try_cast("bigint")
+
+
+def registered(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host."""
+    labels = F.split(host, r"\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    two = last(2).isin(list(suffixes)) & (F.size(labels) >= 2)
+    return F.when(two, last(3)).otherwise(last(2)), F.when(two, last(2)).otherwise(last(1))
 
 
 def _shrunk(units: DataFrame, parents: DataFrame, unit: str, parent: str) -> DataFrame:
-    """units (unit, parent, n, good) with mean and strength after shrinking to parents (parent, mean)."""
-    met = units.join(parents.select(parent, F.col("mean").alias("_up")), parent)
+    """units (unit, parent, n, good) with mean and sd after shrinking to parents (parent, mean)."""
+    met = units.join(parents.select(parent, F.col("mean").alias("up")), parent)
     rate = F.col("good") / F.col("n")
-    between = F.col("_up") * (1 - F.col("_up"))
+    between = F.col("up") * (1 - F.col("up"))
     # E[n (rate - up)^2] = up (1 - up) (1 + (n - 1) rho), rho = 1 / (strength + 1)
-    fit = met.agg(F.sum(F.col("n") * F.pow(rate - F.col("_up"), 2)).alias("q"), F.sum(between).alias("b"), F.sum((F.col("n") - 1) * between).alias("d"))
-    rho = F.when(F.col("d") > 0, (F.col("q") - F.col("b")) / F.col("d")).otherwise(F.lit(0.0))
-    fit = fit.select(F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), F.when(rho > 1e-6, 1 / rho - 1).otherwise(F.lit(MOST_STRENGTH)))).alias("strength"))
-    both = met.crossJoin(F.broadcast(fit))  # one row
-    a = F.col("good") + F.col("strength") * F.col("_up")
-    total = F.col("n") + F.col("strength")
-    return both.withColumn("mean", a / total).withColumn("sd", F.sqrt((a / total) * (1 - a / total) / (total + 1))).select(unit, parent, "n", "good", "mean", "sd")
-
-
-def posterior_tables(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(hosts, domains, suffixes, overall) with posterior mean and sd, from outcomes (host, good: 0 or 1)."""
-    hosts = _parts(outcomes).groupBy("host", "_domain", "_suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("_all", F.lit(0))
-    overall = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).select(F.lit(0).alias("_all"), ((F.col("good") + 1) / (F.col("n") + 2)).alias("mean"), F.sqrt((F.col("good") + 1) / (F.col("n") + 2) * (F.col("n") - F.col("good") + 1) / (F.col("n") + 2) / (F.col("n") + 3)).alias("sd"))
-    s = _shrunk(suffixes, overall, "_suffix", "_all")
-    d = _shrunk(domains, s, "_domain", "_suffix")
-    h = _shrunk(hosts, d, "host", "_domain")
-    return h, d, s, overall
-
-
-def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, good) of each page whose document is labelled: good if of quality 1 and not toxic."""
-    number = F.expr("try_cast(regexp_extract(_path, '/([0-9]+)[^/]*/?$', 1) as bigint)")
+    q, b, d = met.agg(F.sum(F.col("n") * F.pow(rate - F.col("up"), 2)), F.sum(between), F.sum((F.col("n") - 1) * between)).first()
+    rho = (q - b) / d if d else 0.0
+    strength = min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / rho - 1 if rho > 1e-6 else MOST_STRENGTH))
+    a = F.col("good") + F.lit(strength) * F.col("up")
+    total = F.col("n") + F.lit(strength)
+    return met.withColumn("mean", a / total).withColumn("sd", F.sqrt((a / total) * (1 - a / total) / (total + 1))).select(unit, parent, "n", "good", "mean", "sd")
+
+
+def posterior_tables(outcomes: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+    """(hosts, domains, suffixes, (mean, sd) of all) with posterior mean and sd, from outcomes (host, good: 0 or 1)."""
+    domain, suffix = registered(F.col("host"), suffixes)
+    hosts = materialize(outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).withColumn("domain", domain).withColumn("suffix", suffix))
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("every", F.lit(0))
+    n, good = (float(x or 0) for x in hosts.agg(F.sum("n"), F.sum("good")).first())
+    mean = (good + 1) / (n + 2)
+    overall = mean, (mean * (1 - mean) / (n + 3)) ** 0.5
+    s = materialize(_shrunk(tops, tops.select("every").distinct().withColumn("mean", F.lit(mean)), "suffix", "every"))
+    d = materialize(_shrunk(domains, s, "domain", "suffix"))
+    return materialize(_shrunk(hosts.drop("suffix"), d, "host", "domain")), d, s, overall
+
+
+def outcomes(pages: DataFrame, labels: DataFrame, number: Callable[[Column], Column] = page_number) -> DataFrame:
+    """(host, good) of each page whose document is labelled: good if of quality 1 and not toxic. number: from a url's path, the
+    doc_id of its labels."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
-    seen = pages.select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("_path")).withColumn("doc_id", number).where("doc_id is not null and host != ''")
+    seen = pages.select(url_host(F.col("url")).alias("host"), number(url_path(F.col("url"))).alias("doc_id")).where("doc_id is not null and host != ''")
     return seen.join(known, "doc_id").select("host", "good")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, limit: float = LIMIT, z: float = Z) -> DataFrame:
+RESULTS = ("host", "path", "rule", "verdict", "reputation", "upper")
+
+
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] | None = None, limit: float = LIMIT, z: float = Z, suffixes: Sequence[str] = SUFFIXES, number: Callable[[Column], Column] = page_number) -> DataFrame:
     """pages with host, path, rule, verdict, reputation (posterior mean) and upper (its bound)."""
     rules = RULES if rules is None else rules
-    hosts, domains, suffixes, overall = posterior_tables(outcomes(pages, labels))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "reputation", "upper")]
-    seen = pages.select(*[F.col(f"`{c}`") for c in keep], url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    named = _parts(seen)
-    named = named.join(hosts.select("host", F.struct("mean", "sd").alias("_h")), "host", "left").join(domains.select("_domain", F.struct("mean", "sd").alias("_d")), "_domain", "left").join(suffixes.select("_suffix", F.struct("mean", "sd").alias("_s")), "_suffix", "left")
-    named = named.crossJoin(F.broadcast(overall.select(F.struct("mean", "sd").alias("_o"))))  # one row
+    hosts, domains, tops, (mean, sd) = posterior_tables(outcomes(pages, labels, number), suffixes)
+    kept = [c for c in pages.columns if c not in RESULTS]
+    seen = pages.select(F.struct(*[quoted(c) for c in kept]).alias("_row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    domain, suffix = registered(F.col("host"), suffixes)
+    named = seen.withColumn("domain", domain).withColumn("suffix", suffix)
+    for key, level in (("host", hosts), ("domain", domains), ("suffix", tops)):
+        named = named.join(level.select(key, F.struct("mean", "sd").alias(f"_{key}")), key, "left")
     rule, fixed = matching_rule(F.col("host"), F.col("path"), rules)
-    best = named.withColumn("_b", F.coalesce("_h", "_d", "_s", "_o")).withColumn("reputation", F.col("_b.mean")).withColumn("upper", F.least(F.lit(1.0), F.col("_b.mean") + z * F.col("_b.sd")))
-    return best.withColumn("rule", rule).withColumn("verdict", F.coalesce(fixed, F.when(F.col("upper") < limit, "block").otherwise("allow"))).select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "verdict", "reputation", "upper")
+    best = F.coalesce("_host", "_domain", "_suffix", F.struct(F.lit(mean).alias("mean"), F.lit(sd).alias("sd")))
+    judged = named.withColumn("_b", best).withColumn("upper", F.least(F.lit(1.0), F.col("_b.mean") + z * F.col("_b.sd")))
+    verdict = F.coalesce(fixed, F.when(F.col("upper") < limit, "block").otherwise("allow"))
+    return judged.select(*[quoted(c, "_row") for c in kept], "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.col("_b.mean").alias("reputation"), "upper")

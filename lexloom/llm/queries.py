@@ -141,7 +141,8 @@ WITH u AS (
   SELECT page_id, coalesce(translate(CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^/?#]*)', 1) END, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path FROM pages
 ), v AS (
-  SELECT *, string_split(host, '.')[-1] AS suffix, CASE WHEN len(string_split(host, '.')) > 1 THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain FROM u
+  SELECT *, array_to_string(l[greatest(1, len(l) - k + 1):], '.') AS suffix, array_to_string(l[greatest(1, len(l) - k):], '.') AS domain FROM (
+    SELECT *, CASE WHEN len(l) > 1 AND l[-2] || '.' || l[-1] IN ({", ".join(f"'{x}'" for x in host_reputation.SUFFIXES)}) THEN 2 ELSE 1 END AS k FROM (SELECT *, string_split(host, '.') AS l FROM u))
 ), known AS (
   SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), o AS (
