@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm import textbytes as tb
-from lexloom.llm.store import add_columns, materialize, release
+from lexloom.llm.store import add_columns, materialize, quoted, release
 
 WIDTH = 5
 PERCENT = 75
@@ -432,7 +432,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first by the hash of all columns. What is linked with nothing stays (an id with two such texts keeps both), and all
     rows without doc_id."""
     members, keyed, own = _members(docs)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("_row")
     rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     alone = rows.where("_id is null").select("_row")
     if not own:

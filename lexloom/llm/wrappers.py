@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.host_reputation import url_host
-from lexloom.llm.store import materialize
+from lexloom.llm.store import materialize, quoted
 
 CONSTANT_PAGES = 3
 #: Parts of a host's wrapper that are left after each round of merging.
@@ -332,7 +332,7 @@ def _gaps(nodes: list, texts: Callable) -> list:
         own: dict[str, list] = {}
         for x in flat:
             key = _key(_bare(x))
-            own[key] = ["?", [merge_nodes((own[key][1][0], x[1][0]), texts) if _same(own[key][1][0], x[1][0]) else _merged(own[key][1][0], x[1][0], texts)]] if key in own else x
+            own[key] = _merged(own[key], x, texts) if key in own else x
         if len(own) < len(flat) or any(map(_any_order, gap)):
             out.append(["+", list(own.values())])
         else:
@@ -349,23 +349,28 @@ def _gaps(nodes: list, texts: Callable) -> list:
     return out
 
 
-def _bare(node: list) -> list:
-    """What a node looks like to the alignment: a group of one is its own single turn, an option its content."""
+def _open(node: list) -> tuple[list, set[str]]:
+    """What a node looks like to the alignment (a group of one is its own single turn, an option its content), and the marks
+    around it."""
+    marks = set()
     while node[0] in "+?" and len(node[1]) == 1:
+        marks.add(node[0])
         node = node[1][0]
-    return node if node[0] in "t#" else ["+", node[1]]
+    return node, marks
+
+
+def _bare(node: list) -> list:
+    return _open(node)[0]
 
 
 def _merged(a: list, b: list, texts: Callable = set.intersection) -> list:
-    if a[0] == b[0] and _same(a, b):
+    if _same(a, b):
         return merge_nodes((a, b), texts)
-    optional = "?" in (a[0], b[0])
-    repeated = any(x[0] == "+" or (x[0] == "?" and x[1][0][0] == "+") for x in (a, b))
-    x, y = _bare(a), _bare(b)
+    (x, p), (y, q) = _open(a), _open(b)
     core = merge_nodes((x, y), texts) if _same(x, y) else x
-    if core[0] != "+" and repeated:
+    if "+" in p | q and core[0] != "+":
         core = ["+", [core]]
-    return ["?", [core]] if optional else core
+    return ["?", [core]] if "?" in p | q else core
 
 
 def skeleton(html: str | None) -> list:
@@ -495,7 +500,7 @@ def extract(pages: DataFrame, salts: Sequence[int] = SALTS) -> DataFrame:
     if (wrappers.agg(F.sum(F.octet_length("_nodes") + 200)).first()[0] or 0) <= BROADCAST_BYTES:
         wrappers = F.broadcast(wrappers)
     kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col("html").alias("_html"), url_host(F.col("url")).alias("_host"))
+    rows = pages.select(F.struct(*[quoted(c) for c in kept]).alias("_row"), F.col("html").alias("_html"), url_host(F.col("url")).alias("_host"))
     met = rows.join(wrappers, "_host", "left").select("_row", "_html", "_nodes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -511,4 +516,4 @@ def extract(pages: DataFrame, salts: Sequence[int] = SALTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["_row", "_text", "_n"])
 
     read_rows = met.mapInArrow(run, T.StructType([met.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_n", T.LongType())]))
-    return read_rows.select(*[F.col(f"_row.`{c}`") for c in kept], F.col("_text").alias("text"), F.col("_n").alias("n_chars"))
+    return read_rows.select(*[quoted(c, "_row") for c in kept], F.col("_text").alias("text"), F.col("_n").alias("n_chars"))
