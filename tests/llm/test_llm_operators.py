@@ -1,16 +1,18 @@
 """Brute force, planted cases and defined results of the corpus operators."""
 
+import math
 import re
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, divergence_rules, extendible, host_reputation, jaccard_join, mixing, quality_nbsvm, token_spans, toxicity_fm, wrappers
+from lexloom.llm import decontaminate, divergence_rules, extendible, host_reputation, jaccard_join, mixing, quality_nbsvm, queries, token_spans, toxicity_fm, wrappers
 from lexloom.llm import features as ft
-from lexloom.llm.store import fold
+from lexloom.llm.store import fold, labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i} the of and" for i in range(4000))
@@ -79,6 +81,39 @@ def test_jaccard_on_shared_passages_and_chains(spark):
     assert got == brute_components(rows)
 
 
+def test_near_duplicates_keep_each_text_of_an_id(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (7, a), (7, a), (9, c), (9, c + " x"), (2, c), (None, a), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("component_id", F.lit("mine")).withColumn("_key", F.lit("k"))
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(5, a), (5, b), (2, c), (-1, a), (4, ""), (4, "")])
+    found = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.component_ids(df).collect())
+    assert found == {(5, 5): 2, (7, 5): 2, (9, 2): 2, (2, 2): 1, (None, None): 1, (4, 4): 2}
+    with pytest.raises(ValueError):
+        jaccard_join.component_ids(df.withColumn("doc_id", F.lit("a")))
+
+
+def test_jaccard_tiles_of_families(spark):
+    """Two families of near copies that share a passage, beside texts with that passage alone, under a small heat limit."""
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = []
+    for f in range(2):
+        words = f"{prose(rng, 100)} {passage}".split()
+        for k in range(25):
+            w = list(words)
+            w[int(rng.integers(90))] = f"edit{f}x{k}"
+            rows.append((1000 * f + k, " ".join(w)))
+    rows += [(5000 + i, f"{prose(rng, 60)} {passage}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    members, _, comps = jaccard_join.join(df, hot_pairs=50)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in members.join(comps, "c", "left").select("doc_id", "n_shingles", F.coalesce("comp", "c").alias("component_id")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.component_ids(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -120,6 +155,53 @@ def test_rules_count_as_brute_force_and_reject_junk(spark, docs):
     assert not any(kept[i] for i in (102, 103, 104, 107, 300, 301, 302, 303))
 
 
+def brute_distance(p, q):
+    kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x > 0)
+    m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+    return math.sqrt(max(0.0, kl(p, m) / 2 + kl(q, m) / 2))
+
+
+def histograms(text, common):
+    """Shares of the classes of characters, and of the common words (the last one: all others)."""
+    classes, bins = [0] * 8, [0] * (len(common) + 1)
+    for c in text:
+        classes[0 if c.islower() or ord(c) > 127 else 1 if c.isupper() else 2 if c.isdigit() else 4 if c == "\n" else 3 if c in " \t" else 5 if c in ".,;:!?'\"-()" else 6] += 1
+    for w in WORDS.findall(lower(text)):
+        w = w[:-1] if len(w) > 1 and w[-1] in ".,;:?\"'()" else w
+        bins[common.index(w) if w in common else -1] += 1
+    return [[x / max(1, sum(h)) for x in h] for h in (classes, bins)]
+
+
+def test_divergence_verdicts_equal_brute_force(spark, docs):
+    rng = np.random.default_rng(4)
+    odd = [(300, prose(rng, 300).upper().replace(" ", "!! "), "en", "s", 0), (301, " ".join(f"z{i}" for i in range(90)), "fr", "s", 0), (302, "der die und in den " * 2 + " ".join(f"q{i}" for i in range(60)), "de", "s", 0)]
+    rows = [r for r in docs.collect() if r["doc_id"] != 106] + odd
+    common = sorted({w for ws in divergence_rules.COMMON_WORDS.values() for w in ws})
+    own = {}
+    for _, t, lang, *_ in rows:
+        n, _, _, _, repeated = brute_rules(t)
+        if n >= 50 and 2 * repeated <= n and lang:
+            own.setdefault(lang, []).append([[math.sqrt(x) for x in h] for h in histograms(t, common)])
+    references = {}
+    for lang, hs in own.items():
+        mean = [[(sum(h[k][i] for h in hs) / len(hs)) ** 2 for i in range(len(hs[0][k]))] for k in (0, 1)]
+        references[lang] = [[x / sum(m) for x in m] for m in mean]
+    both = spark.createDataFrame(rows, DOCS)
+    checked = 0
+    for r in divergence_rules.apply_rules(both).collect():
+        n, _, _, _, repeated = brute_rules(r["text"])
+        if n < 50 or 2 * repeated > n:
+            assert not r["kept"] and r["base_failed"]
+            continue
+        h, checked = histograms(r["text"], common), checked + 1
+        room = 0.14 + 0.7 / math.sqrt(n), 0.40 + 1.6 / math.sqrt(n)
+        far = {x: (brute_distance(h[0], q[0]), brute_distance(h[1], q[1])) for x, q in references.items()}
+        near = min(sorted(far), key=lambda x: max(far[x][0] / room[0], far[x][1] / room[1]))
+        assert (r["char_distance"], r["word_distance"]) == pytest.approx(far[near], abs=1e-6), r["doc_id"]
+        assert r["kept"] == all(x <= y for x, y in zip(far[near], room, strict=True))
+    assert checked > 50
+
+
 def test_rules_on_an_empty_table(spark):
     assert divergence_rules.apply_rules(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -190,27 +272,110 @@ def test_classifiers_without_labels(spark, module):
     assert {round(r["score"], 3) for r in module.score(d, model).collect()} == {0.5}
 
 
-def test_factorization_learns_a_pair():
+def test_factorization_learns_a_parity():
+    """Both terms are as frequent in both classes, so no additive model can do better than chance."""
     rng = np.random.default_rng(2)
     samples = []
-    for i in range(400):
-        t = prose(rng, 20)
-        a, b = i % 2, (i // 2) % 2
-        samples.append((t + " aaaa" * a + " bbbb" * b, int(a and b)))
-    m = toxicity_fm.fit(samples, 0.25, rounds=30)
-    at = {x: m.score(ft.of_text(x, ft.terms, toxicity_fm.SLOTS)) for x in ("aaaa", "bbbb", "aaaa bbbb")}
-    assert at["aaaa bbbb"] > 0.7 > max(at["aaaa"], at["bbbb"])
-
-
-def test_extendible_shards_fit(spark):
-    rows = [(i, "x" * int(50 + i % 200)) for i in range(2000)] + [(5000, "y" * 40_000), (5001, None)] + [(7, "z" * 900)] * 30
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard_id", F.lit("mine"))
-    got = extendible.shard(df, limit=20_000)
-    sums = {r["shard_id"]: (r["b"], r["n"]) for r in got.groupBy("shard_id").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()}
-    assert sum(n for _, n in sums.values()) == len(rows)
-    assert all(b <= 20_000 or n == 1 for b, n in sums.values())
-    plain = [s for s in sums if "-" not in s]
-    assert not any(a != b and b.startswith(a) for a in plain for b in plain)
+    for _ in range(600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        samples.append((prose(rng, 20) + " aaaa" * a + " bbbb" * b, int(a == b)))
+    m = toxicity_fm.fit(samples, 0.5, rounds=40)
+    at = {x: m.score(ft.of_text(x, ft.terms, toxicity_fm.SLOTS)) for x in ("", "aaaa", "bbbb", "aaaa bbbb")}
+    assert min(at["aaaa bbbb"], at[""]) > 0.7 > 0.3 > max(at["aaaa"], at["bbbb"])
+
+
+def test_factorization_scores_equal_all_pairs_summed(spark):
+    d, labels = labelled(spark, "toxic")
+    m = toxicity_fm.train(d, labels, F.lit(True))
+    d = d.unionByName(spark.createDataFrame([(2000, LONG + " insultword")], "doc_id long, text string")).withColumn("score", F.lit("mine")).withColumn("a.b", F.lit(1))
+    got = toxicity_fm.score(d.unionByName(d.where("doc_id = 3")), m).collect()
+    assert len(got) == 304 and len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+    for r in got:
+        at = [k for k in (m.index[x] for x in ft.of_text(r["text"], ft.terms, toxicity_fm.SLOTS)) if k >= 0]
+        z = m.bias + sum(float(m.linear[i]) for i in at) + sum(float(m.factors[i].astype(float) @ m.factors[j]) for n, i in enumerate(at) for j in at[:n])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert toxicity_fm.score(d.limit(0), m).count() == 0
+
+
+def test_dual_descent_equals_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(12, 5, replace=False)) for _ in range(40)]
+    y = np.where([(3 in x) ^ (rng.random() < 0.1) for x in rows], 1, -1)
+    r = quality_nbsvm.log_count_ratios(rows, y, 12)
+    counts = [1 + sum(k in x for x, z in zip(rows, y, strict=True) if z == s) for s in (1, -1) for k in range(12)]
+    p, q = np.array(counts[:12], float), np.array(counts[12:], float)
+    assert r == pytest.approx(np.log(p / p.sum()) - np.log(q / q.sum()))
+    x = np.zeros((40, 13))
+    for i, at in enumerate(rows):
+        x[i, at] = r[at] / np.linalg.norm(r[at])
+    x[:, 12] = 1  # the bias
+    gram = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(20_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, 1)
+    w, bias = quality_nbsvm.dual_descent(rows, y, r, np.ones(40), rounds=3000)
+    want = (alpha * y) @ x
+    assert np.append(w, bias) == pytest.approx(want, abs=0.02)
+    primal = lambda v: (v @ v) / 2 + np.maximum(0, 1 - y * (x @ v)).sum()
+    assert primal(np.append(w, bias)) == pytest.approx(primal(want), rel=1e-3)
+
+
+def test_quality_scores_by_hand(spark):
+    d, labels = labelled(spark, "quality")
+    m = quality_nbsvm.train(d, labels, F.lit(True))
+    d = d.unionByName(spark.createDataFrame([(2000, LONG)], "doc_id long, text string")).withColumn("predicted", F.lit("mine")).withColumn("a.b", F.lit(1))
+    for r in quality_nbsvm.score(d.unionByName(d.where("doc_id = 3")), m).collect():
+        at = ft.of_text(r["text"], ft.shapes, quality_nbsvm.SLOTS)
+        z = m.bias + (sum(map(float, m.product[at])) / np.sqrt(sum(map(float, m.square[at]))) if len(at) else 0)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(m.slope * z + m.offset))), abs=1e-4)
+        assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_labelled_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 10, f"text {i % 20} {'x' * 100}") for i in range(200)] + [(11, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    whole = labelled_sample(docs, labels, "quality", F.lit(True), 100)
+    assert len(whole) == 11 and ("", 1) in whole
+    assert len(labelled_sample(docs, labels, "quality", F.lit(True), 2)) == 4
+    few = labelled_sample(docs, labels, "quality", F.lit(True), 100, most_bytes=500)
+    assert 2 <= len(few) <= 7 and set(few) <= set(whole)
+
+
+def brute_directory(sizes, limit):
+    """hash -> (prefix bits, one hash that exceeds the limit), splitting from the root on."""
+    out, queue = {}, [("", sizes)]
+    while queue:
+        bits, part = queue.pop()
+        if sum(part.values()) <= limit or len(part) == 1:
+            out |= {h: (bits, sum(part.values()) > limit) for h in part}
+            continue
+        for b in "01":
+            half = {h: n for h, n in part.items() if format(h, "062b")[len(bits)] == b}
+            if half:
+                queue.append((bits + b, half))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1000, 20_000, 10**9])
+def test_extendible_shards_equal_brute_force(spark, limit):
+    rows = [(i, "x" * int(50 + i % 200)) for i in range(1000)] + [(5000, "y" * 40_000), (5001, None), (None, "null key")] + [(7, "z" * 900)] * 30 + [(8, "q" * limit)] * (limit < 10**6)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("shard_id", "shard", "_h", "_row", "a.b")})
+    hashes = {r["doc_id"]: r["h"] for r in df.select("doc_id", extendible.hash_of("doc_id").alias("h")).collect()}
+    sizes: Counter = Counter()
+    for i, t in rows:
+        sizes[hashes[i]] += len(t or "")
+    want = brute_directory(sizes, limit)
+    got = extendible.shard(df, limit=limit).collect()
+    assert len(got) == len(rows) and set(got[0].asDict()) == {*df.columns, "depth", "n_bytes"}
+    held: Counter = Counter()
+    for r in got:
+        bits, whole = want[hashes[r["doc_id"]]]
+        own, _, chunk = r["shard_id"].partition("-")
+        assert r["n_bytes"] == len(r["text"] or "") and bool(chunk) == whole and r["shard"] == r["_h"] == "mine"
+        assert own.startswith(bits) if whole else own == bits and r["depth"] == len(bits)
+        held[r["shard_id"]] += r["n_bytes"]
+    count = Counter(r["shard_id"] for r in got)
+    assert all(b <= limit or count[s] == 1 for s, b in held.items())
     assert extendible.shard(df.limit(0)).count() == 0
 
 
@@ -236,34 +401,98 @@ def test_reputation_blocks_bad_hosts_and_obeys_rules(spark):
     assert got[903]["verdict"] == "allow" and got[904]["verdict"] == "allow"
 
 
+def crossing_by_hand(text, ids, lengths, bounds, rule):
+    """Tokens of each section, character by character."""
+    byte_char = [i for i, c in enumerate(text) for _ in c.encode()]
+    section = lambda c: next(k for k, e in enumerate(bounds) if c < e)
+    out, at = [0.0] * len(bounds), 0
+    for i in ids:
+        own = sorted(set(byte_char[at : at + lengths[i]]))
+        at += lengths[i]
+        if rule == "share":
+            for c in own:
+                out[section(c)] += 1 / len(own)
+        else:
+            out[section(own[0] if rule == "start" else own[-1])] += 1
+    return out
+
+
+@pytest.mark.skipif(not Path(token_spans.RANKS).exists(), reason="no tokenizer")
 @pytest.mark.parametrize("rule", token_spans.RULES)
-def test_token_spans_round_trip(spark, rule):
-    if not Path(token_spans.RANKS).exists():
-        pytest.skip("no tokenizer")
-    bpe, lengths = token_spans.encoder()
-    texts = ["one line\nand two\n\n  indented é\n", "", None, "no break", "\n\n\n", LONG]
-    got = token_spans.count_sections(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rule).collect()
+def test_token_spans_equal_brute_force(spark, rule):
+    bpe, lengths = token_spans.encoder(Path(token_spans.RANKS).read_bytes())
+    texts = ["one line\nand two\n\n  indented \u00e9\n", "", None, "no break", "\n\n\n", "a \n\n b\n \u65e5\u672c\n\n\n\t x", "y" * 50_000, "one line\nand two\n\n  indented \u00e9\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("section", F.lit("mine"))
+    got = token_spans.count_sections(df, rule).collect()
     for i, t in enumerate(texts):
         own = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["section"])
         ids = bpe.encode_ordinary(t or "")
-        assert sum(lengths[ids]) == len((t or "").encode())
-        assert own[-1]["end_byte"] == len((t or "").encode())
-        assert sum(r["n_tokens"] for r in own) == pytest.approx(len(ids))
-        if rule == "start":
-            starts = np.cumsum(lengths[ids]) - lengths[ids] if ids else []
-            assert [r["n_tokens"] for r in own] == [sum(r["start_byte"] <= s < r["end_byte"] for s in starts) for r in own]
-
-
-def test_rates_reach_the_targets(spark):
+        bounds = [r["end_char"] for r in own]
+        assert bounds[-1] == len(t or "") and [r["start_char"] for r in own] == [0, *bounds[:-1]]
+        assert "".join((t or "")[r["start_char"] : r["end_char"]] for r in own) == (t or "")
+        assert all(r["doc_tokens"] == len(ids) for r in own)
+        assert [r["n_tokens"] for r in own] == pytest.approx(crossing_by_hand(t or "", ids, lengths, bounds, rule))
+    assert token_spans.count_sections(df.limit(0), rule).count() == 0
+
+
+@pytest.mark.skipif(not Path(token_spans.RANKS).exists(), reason="no tokenizer")
+def test_tokens_of_named_fields(spark):
+    bpe, _ = token_spans.encoder(Path(token_spans.RANKS).read_bytes())
+    df = spark.createDataFrame([(1, "A title", None, "the body"), (2, None, "", "")], "doc_id long, `my.title` string, empty string, body string")
+    got = {(r["doc_id"], r["field"]): r for r in token_spans.count_fields(df, ["my.title", "empty", "body"]).collect()}
+    assert [got[1, f]["end_char"] for f in ("my.title", "empty", "body")] == [8, 9, 17]
+    assert sum(got[1, f]["n_tokens"] for f in ("my.title", "empty", "body")) == len(bpe.encode_ordinary("A title\n\nthe body"))
+    assert got[2, "body"]["n_tokens"] == 0
+    with pytest.raises(ValueError):
+        token_spans.count_sections(df.withColumn("text", F.lit("")), "middle")
+
+
+def dense_rates(t, p, goal, ridge):
+    """Accelerated projected gradient over all rates at once."""
+    w, r = t / t.sum(), np.ones(len(t))
+    y, a = r.copy(), 1.0
+    step = 1 / (np.linalg.eigvalsh((p * w[:, None]).T @ p).max() + ridge)
+    for _ in range(200_000):
+        new = np.maximum(0, y - step * (p @ ((y * w) @ p - goal) + ridge * (y - 1)))
+        a = 1.0 if ((y - new) * (new - r)).sum() > 0 else a
+        b = (1 + np.sqrt(1 + 4 * a * a)) / 2
+        y = new + (a - 1) / b * (new - r)
+        if np.abs(new - r).max() < 1e-13:
+            return new
+        r, a = new, b
+    return r
+
+
+@pytest.mark.parametrize(("shape", "targets", "missed"), [([2, 0.5, 0.5], (0.7, 0.15, 0.15), False), ([20, 0.1, 0.1], (0.1, 0.8, 0.1), True)])
+def test_rates_equal_a_dense_solver(spark, shape, targets, missed):
     rng = np.random.default_rng(6)
-    p = rng.dirichlet([2, 0.5, 0.5], 400)
-    n = rng.integers(10, 500, 400)
-    table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(400)], "doc_id long, n_tokens long, p_clean double, p_toxic double, p_low double")
-    residuals, steps, _ = mixing.solve(table, {"clean": 0.7, "toxic": 0.15, "low": 0.15})
-    r = np.array([x["rate"] for x in mixing.with_rates(table, residuals, steps).orderBy("doc_id").collect()])
-    made = (r * n) @ p / n.sum()
-    assert (r >= 0).all()
-    assert np.abs(made - [0.7, 0.15, 0.15]).max() < 0.01
+    p = rng.dirichlet(shape, 300)
+    n = rng.integers(0, 500, 300)
+    table = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], "doc_id long, n_tokens long, p_clean double, p_toxic double, p_low double")
+    goal = dict(zip(mixing.DOMAINS, targets, strict=True))
+    fit = mixing.solve(table, goal, ridge=1e-3)
+    r = np.array([x["rate"] for x in mixing.with_rates(table, fit).orderBy("doc_id").collect()])
+    assert fit.converged and (r >= 0).all()
+    assert np.abs(r - dense_rates(n.astype(float), p, np.array(targets), 1e-3)).max() < 1e-5
+    assert list(fit.totals.values()) == pytest.approx(((r * n) @ p / n.sum()).tolist())
+    assert bool(fit.missed) == missed
+
+
+def test_mixing_from_texts_to_rows(spark):
+    docs, labels = labelled(spark, "toxic")
+    docs = docs.withColumn("rate", F.lit("mine")).withColumn("a.b", F.lit(1)).unionByName(docs.where("doc_id = 7").withColumn("rate", F.lit("mine")).withColumn("a.b", F.lit(1)))
+    rates, fit = mixing.fit_rates(docs, labels, {"clean": 0.8, "toxic": 0.2})
+    rows = rates.collect()
+    assert fit.converged and not fit.missed and len(rows) == docs.count()
+    assert len({r["rate"] for r in rows if r["doc_id"] == 7}) == 1
+    assert {r["n_tokens"] for r in rows if r["doc_id"] in (1000, 1001)} == {0}
+    out = mixing.resample(docs, labels, {"clean": 0.8, "toxic": 0.2})
+    assert out.columns == docs.columns
+    drawn = dict(out.groupBy("doc_id").count().collect())
+    assert all(r["rate"] - 1 < drawn.get(r["doc_id"], 0) / (2 if r["doc_id"] == 7 else 1) < r["rate"] + 1 for r in rows)
+    assert mixing.document_rates(docs.limit(0), labels).count() == 0
+    with pytest.raises(ValueError):
+        mixing.solve(rates, {"clean": -1.0})
 
 
 def test_wrappers_find_the_article(spark):
@@ -304,6 +533,71 @@ def read_all(pages):
     return [wrappers.read(html, w.table()) for html in pages]
 
 
+PROBES = [
+    ('<main><div class="side-by-side"><p>Body</p></div></main>', "Body"),
+    ('<article><section class="discussion"><p>D</p></section></article>', "D"),
+    ('<article><p>see <a class="related">this</a> now</p></article>', "see this now"),
+    ('<header>top</header><article><header><h1>T</h1></header><p>x <label>l</label></p><ul class="comment-list"><li>c</ul></article>', "T x l"),
+    ('<div class="article-header">A</div><div class="site-header">s</div><p>b<form><p>f</form>', "A b"),
+    ('<div role="banner">s</div><div id="reader-comments"><p>c</div><p>b', "b"),
+    ("<p>one</div></section><p>two", "one two"),
+    ("<div>" * 20_000 + "<p>deep" + "</div>" * 20_000 + "</x>" * 20_000, "deep"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), PROBES)
+def test_parts_are_named_by_whole_words(html, want):
+    assert wrappers.read(html, None) == want
+
+
+def accepts(nodes):
+    """The wrapper as a regular expression over the paths of lines."""
+    return "".join(f"(?:{re.escape(x[1])},)" if x[0] == "#" else f"(?:{accepts(x[1])}){x[0]}" for x in nodes)
+
+
+def paths_of(html):
+    return "".join(f"{wrappers.content_of(x)[0]}," for x in wrappers.lines(html) if wrappers.content_of(x)[0] is not None)
+
+
+def test_wrappers_match_their_pages_and_their_template_equals_brute_force():
+    """Hosts of random pages: lines of a few kinds, some of them the same on each page, others of the page's own."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        kinds = ["h1", "p", "div", "h2", "h3", "section"]
+        fixed = {k: f"template {k}" for k in kinds if rng.random() < 0.4}
+        pages = []
+        for i in range(int(rng.integers(3, 9))):
+            body = [(k, f"own {i} {n} {rng.integers(10**9)}") for n in range(int(rng.integers(1, 12))) for k in [kinds[rng.integers(6)]]]
+            body += [(k, t) for k, t in fixed.items()]
+            order = rng.permutation(len(body)) if rng.random() < 0.5 else sorted(range(len(body)), key=lambda x: body[x][0])
+            pages.append("".join(f"<{body[j][0]}>{body[j][1]}</{body[j][0]}>" for j in order))
+        w = wrappers.Wrapper()
+        for html in pages:
+            w.add(wrappers.skeleton(html), 1)
+        rule = re.compile(accepts(w.nodes))
+        for i, html in enumerate(pages):
+            assert len(w.nodes) <= 200 and rule.fullmatch(paths_of(html)), (w.nodes, html)
+            got = wrappers.read(html, w.table())
+            own = re.findall(r"own \d+ \d+ \d+", html)
+            assert re.findall(r"own \d+ \d+ \d+", got) == own
+        if all(sorted(p.count(f"<{k}>") for k in kinds) == sorted(pages[0].count(f"<{k}>") for k in kinds) for p in pages):
+            assert "template" not in got
+
+
+def test_wrappers_decide_where_names_say_nothing(spark):
+    """Neutral names: only what the alignment finds equal on pages that differ tells the template."""
+    pages = [f'<div class="c1">Start</div><div class="c2">Home and more</div><div class="c3"><b>Story {i}</b></div><div class="c3">Text {i * i}.</div><div class="c4">All rights</div>' for i in range(5)]
+    rows = [(i, "http://n.org/x", html) for i, html in enumerate(pages)] + [(9, "http://alone.org/", pages[0]), (10, "http://n.org/x", pages[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("_host", "_row", "n_chars", "a.b")})
+    got = wrappers.extract(df)
+    assert set(got.columns) == {*df.columns, "text"}
+    texts = {r["page_id"]: (r["text"], r["n_chars"], r["a.b"], r["_host"]) for r in got.collect()}
+    want = {i: f"Story {i} Text {i * i}." for i in range(5)} | {10: "Story 0 Text 0."}
+    assert all(texts[i] == (t, len(t), "mine", "mine") for i, t in want.items())
+    assert texts[9][0] == "Start Home and more Story 0 Text 0. All rights"
+    assert wrappers.extract(df.limit(0)).count() == 0
+
+
 def test_wrappers_read_pages_of_mixed_templates():
     assert read_all(["<article><p>in</p></article><div>out</div>", "<div><p>one</p></div>", "<div>two</div>"]) == ["in", "one", "two"]
 
@@ -315,7 +609,7 @@ def test_wrappers_compare_whole_texts():
 
 
 def test_wrappers_merge_long_streams():
-    long = "".join(f"<x{k}>same{k}</x{k}>" for k in range(450))
+    long = "".join(f"<x{k}>same{k}</x{k}>" for k in range(3000))
     assert read_all([f"{long}<h6>t{i}</h6>" for i in range(4)]) == [f"t{i}" for i in range(4)]
 
 
@@ -341,3 +635,60 @@ def test_spans_of_several_blocks_are_cut_in_order(spark):
     for r in decontaminate.find_hits(d, b, block_bytes=40).collect():
         assert r["hit_words"] == [*range(1, 11), *range(12, 22)]
     assert {r["text"] for r in decontaminate.remove_spans(d, b, block_bytes=40).collect()} == {"x  y  z"}
+
+
+def in_duckdb(sql, **tables):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for name, df in tables.items():
+        c.register(name, pa.Table.from_pandas(df.toPandas()) if df.count() else df.toArrow())
+    got = c.execute(sql)
+    names = [x[0] for x in got.description]
+    return sorted((tuple(sorted(zip(names, r, strict=True))) for r in got.fetchall()), key=str)
+
+
+def of_spark(df):
+    return sorted((tuple(sorted(r.asDict().items())) for r in df.collect()), key=str)
+
+
+def test_reputation_equals_its_sql_where_all_levels_block(spark):
+    rng = np.random.default_rng(1)
+    pages, labels = [(9000, None), (9001, "no scheme"), (9002, "x://"), (9003, "http://example.net/en/1")], []
+    hosts = {"a.bad.org": 0.02, "b.bad.org": 0.05, "c.bad.org": 0.0, "x.fine.org": 0.97, "y.fine.org": 0.9, "q.shop.co.uk": 0.1, "r.shop.co.uk": 0.0, "s.other.co.uk": 0.95, "k.junk": 0.0, "m.more.junk": 0.02, "n.more.junk": 0.01, "z.new.junk": None, "d.bad.org": None, "deep.d.bad.org": None, "w.co.uk": None, "lone": 0.5}
+    for h, (host, good) in enumerate(hosts.items()):
+        for i in range(60):
+            n = h * 100 + i
+            pages.append((n, f"http://{host.upper() if i % 2 else host}/p/{n}.html?x=1"))
+            if good is not None and i < 40:
+                labels.append((n, int(rng.random() < good), int(rng.random() < 0.02)))
+    labels += [(None, 1, 0), (5, None, 1)]
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clash = p.withColumns({c: F.lit("mine") for c in ("_row", "domain", "suffix", "_host", "_b", "rule", "a.b")})
+    judged = host_reputation.judge(clash, lab)
+    assert set(judged.columns) == {*clash.columns, "host", "path", "verdict", "reputation", "upper"}
+    assert judged.where("domain = 'mine' and suffix = 'mine' and _b = 'mine'").count() == len(pages)
+    got = judged.select("page_id", "host", "path", "rule", "verdict")
+    assert of_spark(got) == in_duckdb(queries.OP4_SQL, pages=p, labels=lab)
+    verdicts = {r["host"]: r["verdict"] for r in got.where("rule is null").collect()}
+    assert {h: verdicts[h] for h in ("a.bad.org", "d.bad.org", "z.new.junk", "x.fine.org", "s.other.co.uk", "lone")} == {"a.bad.org": "block", "d.bad.org": "block", "z.new.junk": "block", "x.fine.org": "allow", "s.other.co.uk": "allow", "lone": "allow"}
+    assert {verdicts[h] for h in ("q.shop.co.uk", "r.shop.co.uk")} == {"block"}
+    assert host_reputation.judge(p.limit(0), lab.limit(0)).count() == 0
+
+
+def test_decontamination_equals_its_sql(spark):
+    item = "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    items = [(1, item), (2, "Short one"), (3, None), (4, "!!"), (12, item), (5, "na\u00efve \u00dcberraschung")]
+    rows = [(1, f"before {item.upper()} after"), (2, "alpha beta gamma delta epsilon zeta eta theta iota"), (3, "a short, one; and na\u00efve-\u00dcberraschung"), (4, ""), (5, None), (6, f"{item} {item}"), (7, LONG + " short one " + LONG)]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    clash = d.withColumns({c: F.lit("mine") for c in ("n_words", "_row", "_d", "a.b")})
+    for some in (b, b.limit(0)):
+        found = decontaminate.digest(decontaminate.find_hits(clash, some)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert of_spark(found) == in_duckdb(queries.OP6_SQL, documents=d, benchmark=some)
+    assert decontaminate.find_hits(clash.limit(0), b).count() == 0
+    assert set(decontaminate.find_hits(clash, b, block_bytes=60).columns) == {*clash.columns, "hit_words", "item_ids"}
+
+
+def test_built_blocks_are_bounded():
+    items = [(i, " ".join(f"w{(i * 7919 + k * 104729) % 50021}" for k in range(100))) for i in range(500)]
+    assert decontaminate.Windows(items).n_bytes < 8 * sum(len(t) for _, t in items)
