@@ -14,19 +14,26 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+|[^\sA-Za-z0-9])"), 1))
 
 
-def heading(line: Column) -> Column:
-    """The heading that a line is, or null: markdown, section words, numbered without a colon, shouted, capitalised start."""
+# The shapes of headings and of sentence ends.
+MARKDOWN = r"^#{1,3}\s+(.+)$"
+SECTION_WORD = r"(?i)^(section|article|part|attachment|exhibit)\s+([0-9]+|[IVX]+)\b.{0,80}$"
+NUMBERED = r"^[0-9]+(\.[0-9]+)*\.?\s+[A-Z][^.]{2,70}$"
+LEADING_CAPS = r"^([A-Z][A-Z0-9 ,&()/'\-]{6,80}?)\s+[A-Z][a-z]"
+COLUMN_BREAK = "   "
+
+
+def heading(line: Column, known: Column | None = None) -> Column:
+    """The heading that a line is, or null: a known one, markdown, section words, numbered without a colon, shouted, or capitals
+    before an ordinary sentence. Lines with a column break are rows of a table."""
     t = F.trim(line)
     words = F.size(F.split(t, r"\s+"))
-    letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     shouted = (t == F.upper(t)) & (t != F.lower(t)) & words.between(2, 10) & (F.length(t) <= 80) & ~t.rlike("[.,;]$") & (letters >= 4)
-    return (
-        F.when(t.rlike(r"^#{1,6}\s+\S"), F.regexp_replace(t, r"^#+\s+", ""))
-        .when(t.rlike(r"\S {3,}\S"), F.lit(None).cast("string"))
-        .when(t.rlike(r"(?i)^(section|article|part|appendix|exhibit|attachment)\s+[A-Za-z0-9]+") & ~t.endswith(".") & (words <= 12), t)
-        .when(t.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]") & ~t.contains(":") & ~t.endswith(".") & (words <= 12), t)
-        .when(shouted, t)
-    )
+    capitals = F.trim(F.regexp_extract(t, LEADING_CAPS, 1))
+    rules = F.when(t.rlike(MARKDOWN), F.trim(F.regexp_extract(t, MARKDOWN, 1))).when(F.contains(t, F.lit(COLUMN_BREAK)), F.lit(None).cast("string"))
+    rules = rules.when(t.rlike(SECTION_WORD) & ~t.endswith("."), t).when(t.rlike(NUMBERED) & ~F.contains(t, F.lit(":")), t).when(shouted, t)
+    rules = rules.when((F.size(F.split(capitals, r"\s+")) >= 3) & ~F.contains(capitals, F.lit(",")), capitals)
+    return rules if known is None else F.when(F.array_contains(known, t), t).otherwise(rules)
 
 
 def carry_sections(lines: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.operators.text import DASH_DATE, MONTH_DATE, SLASH_DATE
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -28,9 +30,6 @@ TITLE_CHARS = 400
 NUMBER_PATTERNS = [r"addendum\s*(?:no\.?|number|#)?\s*(\d+)", r"amendment\s*(?:no\.?|number|#)?\s*(\d+)"]
 DATE_KEYWORD = r"(?i)\b(?:issued?|dated?|publication|published)\b"
 OTHER_DATE = r"(?i)\b(due|deadline|closing|expir\w*|opening)\b"
-MONTH_DATE = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b"
-SLASH_DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
-DASH_DATE = r"\b(\d{1,2})-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-(\d{4})\b"
 BEFORE_CHARS, AFTER_CHARS = 15, 40
 
 
@@ -91,3 +90,13 @@ def doc_date(text: Column) -> Column:
 
     dates = F.flatten(F.transform(F.filter(F.split(text, r"\R"), lambda x: x.rlike(DATE_KEYWORD)), of_line))
     return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+
+
+def title(headings: Column) -> Column:
+    """A document's title: the first heading over its pages (an array of arrays), or null."""
+    return F.get(F.flatten(headings), F.lit(0))
+
+
+def head(texts: Column) -> Column:
+    """A document's opening: its first two pages."""
+    return F.array_join(F.slice(texts, 1, 2), "\n")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import text
+
 NOT_FOUND = "Not found in documents"
 #: Answers that say that there is none.
 EMPTY_VALUES = ["", "null", "none found", "n/a", "not found", "unknown", "not specified"]
@@ -145,3 +147,27 @@ def call_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     p = prices.select("model", F.col("input").alias("_i"), F.col("output").alias("_o"), F.coalesce("cache_read", F.col("input") * 0.1).alias("_r"), F.coalesce("cache_write", F.col("input") * 1.25).alias("_w"))
     total = F.col("input_tokens") * F.col("_i") + F.col("output_tokens") * F.col("_o") + F.col("cache_read_tokens") * F.col("_r") + F.col("cache_write_tokens") * F.col("_w")
     return calls.join(F.broadcast(p), "model", "left").withColumn("cost", F.round(total / 1_000_000, 6)).drop("_i", "_o", "_r", "_w")
+
+
+def cross_field_problems(results: DataFrame, earlier: str = "Pre Bid Meeting", later: str = "Due Date") -> DataFrame:
+    """(record, field, problem): the field ``earlier`` of records whose least date is past the last one of ``later``."""
+    dated = results.where(F.col("field").isin(earlier, later) & F.col("value").isNotNull()).withColumn("d", text.dates(F.array_join("value", "; ")))
+    both = dated.groupBy("record").agg(F.min(F.when(F.col("field") == earlier, F.array_min("d"))).alias("a"), F.max(F.when(F.col("field") == later, F.array_max("d"))).alias("b"))
+    said = F.format_string("%s date %s is after %s date %s", F.lit(earlier), F.col("a").cast("string"), F.lit(later), F.col("b").cast("string"))
+    return both.where("a > b").select("record", F.lit(earlier).alias("field"), said.alias("problem"))
+
+
+def status_counts(validations: DataFrame, *by: str) -> DataFrame:
+    """Validations by status, for each value of ``by`` (or in all)."""
+    return validations.groupBy(*by).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "not_found")])
+
+
+def field_block(specs: DataFrame) -> DataFrame:
+    """(block): the fields of a group as a prompt states them. specs: field, field_pos, kind, description."""
+    line = F.concat(F.lit("- "), "field", F.lit(" ("), "kind", F.lit("): "), F.coalesce("description", F.lit("")))
+    return specs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
+
+
+def evidence_block(passages: Column) -> Column:
+    """Passages (ARRAY<STRUCT<rank, evidence_id, text>>) as a prompt states them, by rank, each once."""
+    return F.array_join(F.array_distinct(F.transform(F.array_sort(passages), lambda p: F.concat(F.lit("["), p["evidence_id"], F.lit("] "), p["text"]))), "\n\n")

@@ -13,9 +13,9 @@ HEADING_RATIO = 1.15
 LAYOUT_CELL_CHARS = 150
 FORM_EMPTY_RATIO = 0.4
 LABEL_CHARS = 60
-#: Text that breaks off inside an e-mail address or a URL.
-OPEN_ADDRESS = r"(?:@\S*|https?://\S*|www\.\S*)$"
-LIST_ITEM = r"^(?:[0-9]{1,3}[.)]|[A-Za-z][.)]|[•▪●*-])\s"
+# Text that breaks off inside an e-mail address or a URL, and the beginning of a list item.
+OPEN_ADDRESS = r"(?:@|https?://|www\.)\S*$"
+LIST_ITEM = r"^(?:[0-9]+[.)]|[•▪\-–])\s"
 
 
 def body_sizes(spans: DataFrame, key: str) -> DataFrame:
@@ -35,9 +35,31 @@ def is_heading(text: Column, size: Column, bold: Column, body: Column) -> Column
     t = F.trim(text)
     words = F.size(F.split(t, r"\s+"))
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    shaped = F.length(t).between(3, 80) & (words <= 10) & ~F.lower(t).rlike(r"^page\s+[0-9]+") & (letters >= 0.6 * F.length(t))
+    shaped = F.length(t).between(3, 80) & (words <= 10) & ~F.lower(t).rlike(r"^page\s+[0-9]+") & (letters >= 0.6 * F.length(F.replace(t, F.lit(" "))))
     shouted = (t == F.upper(t)) & (t != F.lower(t)) & words.between(2, 8)
-    return shaped & ((size >= body * HEADING_RATIO) | (bold & (words >= 2) & ~t.rlike("[.,;]$")) | shouted)
+    return shaped & ((size >= body * HEADING_RATIO) | (((bold & (words >= 2)) | shouted) & ~t.rlike("[.,;]$")))
+
+
+def page_headings(lines: DataFrame, key: str, sizes: DataFrame, boxes: str | None = None) -> DataFrame:
+    """(key, headings): the headings of each page in the order of its lines, outside of tables. lines: key, line, text, size, bold
+    and, if boxes names a column of boxes, x and y; sizes: as of ``body_sizes``, by the same key."""
+    rows = lines.join(sizes, key).where(is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body_size")))
+    if boxes:
+        rows = rows.where(~inside_any(F.col("x"), F.col("y"), F.coalesce(boxes, F.array().cast("array<struct<x0: double, y0: double, x1: double, y1: double>>"))))
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("text")))), lambda x: x["text"]).alias("headings"))
+
+
+def outside_tables(words: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """words (key, y, x0, x1, ...) without those whose centre is in one of their page's boxes (key, boxes)."""
+    both = words.join(boxes.select(key, "boxes"), key, "left")
+    return both.where(F.col("boxes").isNull() | ~inside_any((F.col("x0") + F.col("x1")) / 2, F.col("y"), F.col("boxes"))).drop("boxes")
+
+
+def tables_text(rows: Column) -> Column:
+    """A table's rows as (markdown, text), the one null where the other is: data as Markdown, layout or a single row as text."""
+    n = normalise_rows(rows)
+    prose = is_layout(n) | (F.size(n) < 2)
+    return F.struct(F.when(~prose, rows_markdown(n)).alias("markdown"), F.when(prose, rows_text(n)).alias("text"))
 
 
 def anchored_groups(positions: Column, tolerances: Column) -> Column:
@@ -78,11 +100,17 @@ def _line_texts(grouped: DataFrame, key: str, column_gap: float | None) -> DataF
 
 
 def ocr_lines(boxes: DataFrame, key: str, ratio: float = 0.5) -> DataFrame:
-    """(key, line, text, top, height): recognised boxes in reading order; boxes whose centres differ by at most ratio of
-    the greatest height on the page share a line. boxes: key, y, x0, x1, height, text."""
-    whole = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1", "height", "text"))).alias("_w"), (F.max("height") * ratio).alias("_r"))
-    grouped = whole.withColumn("_g", anchored_groups(F.transform("_w", lambda w: w["y"]), F.transform("_w", lambda w: F.col("_r"))))
-    return _line_texts(grouped, key, None)
+    """(key, line, text, top, height): recognised boxes in reading order; a box goes on a line if its centre differs from that of
+    the line's first box by at most ratio of the greater of the two heights. boxes: key, y, x0, x1, height, text."""
+    whole = boxes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "x1", "height", "text"))).alias("_w"))
+    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("h"), F.lit(-1).alias("group"), F.array().cast("array<int>").alias("groups"))
+
+    def step(acc, w):
+        fresh = acc["y"].isNull() | (F.abs(w["y"] - acc["y"]) > F.greatest(w["height"], acc["h"]) * ratio)
+        group = acc["group"] + F.when(fresh, 1).otherwise(0)
+        return F.struct(F.when(fresh, w["y"].cast("double")).otherwise(acc["y"]).alias("y"), F.when(fresh, w["height"].cast("double")).otherwise(acc["h"]).alias("h"), group.alias("group"), F.concat(acc["groups"], F.array(group)).alias("groups"))
+
+    return _line_texts(whole.withColumn("_g", F.aggregate("_w", start, step, lambda acc: acc["groups"])), key, None)
 
 
 def page_text(lines: DataFrame, key: str, ratio: float = PARAGRAPH_RATIO) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,10 +11,16 @@ from pyspark.sql import types as T
 
 EDGE_LINES = 3
 BOILERPLATE_CHARS = 120
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"\+?[0-9]*[ ]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[.-][0-9]{4}"
-TIME = r"([0-9]{1,2}):([0-9]{2})\s*([AaPp][Mm])?"
-DATES = [(r"\b([0-9]{1,2}/[0-9]{1,2}/[0-9]{4})\b", ["M/d/yyyy", "d/M/yyyy"]), (r"\b([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})\b", ["MMMM d, yyyy"]), (r"\b([0-9]{1,2}-[A-Za-z]{3}-[0-9]{4})\b", ["d-MMM-yyyy"])]
+# The patterns of facts, and the words that announce a change.
+EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+"
+PHONE = r"\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}"
+TIME = r"(?i)(?:\b([0-9]{1,2}):([0-9]{2})(?::[0-9]{2})?\s*([ap]\.?m\.?)?|\b([0-9]{1,2})\s*([ap]\.?m\.?)(?![a-z]))"
+TIME_ZONE = r"\b(?:[ECMP][SD]?T|UTC|GMT)\b|\b(?:Eastern|Central|Mountain|Pacific)\b"
+MONTH_DATE = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+SLASH_DATE = r"\b(\d{1,2}/\d{1,2}/\d{4})\b"
+DASH_DATE = r"\b(\d{1,2})-(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)-(\d{4})\b"
+CHANGE_CUE = r"(?i)\b(?:new|revised|amended|updated|extend(?:ed|s)?|changed?|replaced?|instead)\b\s*"
+PAGE_LABEL = r"(?i)^(page\s*)?\d+(\s*(of|/|\|)\s*\d+)?$"
 
 
 def line_key(line: Column) -> Column:
@@ -38,11 +46,26 @@ def boilerplate(pages: DataFrame, group: str, page: str, min_ratio: float = 0.5,
     return counts.join(total, group).where((F.col("pages") >= 2) & (F.col("n_pages") >= F.greatest(F.lit(least), F.ceil(F.col("pages") * min_ratio)))).select(group, "key", "n_pages")
 
 
+def clean_pages(pages: DataFrame, group: str, page: str, min_ratio: float = 0.5, least: int = 2) -> DataFrame:
+    """pages (with headings ARRAY<STRING>) without boilerplate lines, page labels and headings of either kind, with is_empty.
+
+    A group's boilerplate keys are few (edge lines on a share of its pages), so they come to each page as one array and the
+    lines are filtered inside the row; texts are not shuffled by line.
+    """
+    keys = boilerplate(pages, group, page, min_ratio, least).groupBy(group).agg(F.collect_set("key").alias("_keys"))
+    both = pages.join(keys, group, "left").withColumn("_keys", F.coalesce("_keys", F.array().cast("array<string>")))
+    stays = lambda x: ~F.array_contains("_keys", line_key(x)) & ~F.trim(x).rlike(PAGE_LABEL)
+    text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+    out = both.withColumn("text", text).withColumn("headings", F.filter("headings", stays)) if "headings" in pages.columns else both.withColumn("text", text)
+    return out.drop("_keys").withColumn("is_empty", F.trim("text") == "")
+
+
 def drop_lines(pages: DataFrame, group: str, page: str, keys: DataFrame) -> DataFrame:
-    """Pages put together again from the lines whose key isn't among keys (group, key)."""
-    kept = lines(pages, group, page).withColumn("key", line_key(F.col("line"))).join(keys.select(group, "key"), [group, "key"], "left_anti")
-    whole = kept.groupBy(group, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return pages.select(group, page).join(whole, [group, page], "left").select(group, page, F.coalesce("text", F.lit("")).alias("text"))
+    """(group, page, text): pages without the lines whose key is among keys (group, key), filtered inside the row."""
+    own = keys.groupBy(group).agg(F.collect_set("key").alias("_keys"))
+    both = pages.select(group, page, "text").join(own, group, "left")
+    stays = lambda x: ~F.array_contains(F.coalesce("_keys", F.array().cast("array<string>")), line_key(x))
+    return both.select(group, page, F.coalesce(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"), F.lit("")).alias("text"))
 
 
 @F.pandas_udf(T.StringType())
@@ -75,34 +98,42 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), 1), lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")))
 
 
+def _parsed(text: Column, pattern: str, form: Callable[[Column], list[Column]]) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?i)({pattern})"), 1), lambda x: F.coalesce(*form(x)))
+
+
 def dates(text: Column) -> Column:
     """Dates in the known formats, each once; month first, day first where that is impossible; invalid ones are left out."""
-    def parsed(pattern: str, formats: list[str]) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.coalesce(*[F.try_to_date(x, y) for y in formats]))
-
-    found = [parsed(*d) for d in DATES]
+    part = lambda x, p, i: F.regexp_extract(x, f"(?i){p}", i)
+    named = lambda x, p, d, m: F.try_to_date(F.concat_ws(" ", part(x, p, d), F.initcap(part(x, p, m)), part(x, p, 3)), "d MMM yyyy")
+    found = [
+        _parsed(text, SLASH_DATE, lambda x: [F.try_to_date(x, "M/d/yyyy"), F.try_to_date(x, "d/M/yyyy")]),
+        _parsed(text, MONTH_DATE, lambda x: [named(x, MONTH_DATE, 2, 1)]),
+        _parsed(text, DASH_DATE, lambda x: [named(x, DASH_DATE, 1, 2)]),
+    ]
     return F.array_distinct(F.filter(F.concat(*found), lambda d: d.isNotNull()))
 
 
 def times(text: Column) -> Column:
-    """Minutes since midnight of the times in a text."""
-    hours, minutes, half = (F.regexp_extract_all(text, F.lit(TIME), i) for i in (1, 2, 3))
+    """Minutes since midnight of the times in a text: 14:05, 2:30 p.m., 2 PM; hours above 23 and minutes above 59 are none."""
+    parts = [F.regexp_extract_all(text, F.lit(TIME), i) for i in (1, 2, 3, 4, 5)]
+    whole = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("h", "m", "a", "k", "b"), strict=True)])
 
-    def minute(i):
-        h, ap = F.element_at(hours, i).cast("int"), F.lower(F.element_at(half, i))
-        h = F.when(ap == "pm", h % 12 + 12).when(ap == "am", h % 12).otherwise(h)
-        return h * 60 + F.element_at(minutes, i).cast("int")
+    def minute(t):
+        h, half = F.coalesce(F.nullif(t["h"], F.lit("")), t["k"]).try_cast("int"), F.lower(F.concat(t["a"], t["b"]))
+        m = F.coalesce(F.nullif(t["m"], F.lit("")).try_cast("int"), F.lit(0))
+        h = F.when(half.startswith("p"), h % 12 + 12).when(half.startswith("a"), h % 12).otherwise(h)
+        return F.when((h <= 23) & (m <= 59), h * 60 + m)
 
-    n = F.size(hours)
-    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), minute)).otherwise(F.array().cast("array<int>")))
+    return F.array_distinct(F.filter(F.transform(whole, minute), lambda x: x.isNotNull()))
 
 
 def grounding_problems(value: Column, evidence: Column) -> Column:
     """What of a value its cited text doesn't bear out: e-mails, dates, times, then the numbers left."""
     plain = value
-    for pattern in [EMAIL, *(p for p, _ in DATES), TIME]:
-        plain = F.regexp_replace(plain, pattern, " ")
-    mail = F.array_except(F.transform(emails(value), F.lower), F.transform(emails(evidence), F.lower))
+    for pattern in (EMAIL, SLASH_DATE, MONTH_DATE, DASH_DATE, TIME):
+        plain = F.regexp_replace(plain, pattern if pattern.startswith("(?i)") else f"(?i){pattern}", " ")
+    mail = F.array_distinct(F.filter(F.transform(emails(value), F.lower), lambda m: ~F.contains(F.lower(evidence), m)))
     day = F.transform(F.array_except(dates(value), dates(evidence)), lambda d: F.date_format(d, "yyyy-MM-dd"))
     clock = F.transform(F.array_except(times(value), times(evidence)), lambda t: F.format_string("%02d:%02d", F.floor(t / 60), t % 60))
     number = F.array_except(numbers(plain), numbers(evidence))
@@ -110,10 +141,19 @@ def grounding_problems(value: Column, evidence: Column) -> Column:
     return F.concat(tag("email", mail), tag("date", day), tag("time", clock), tag("number", number))
 
 
-def format_problems(kind: Column, value: Column) -> Column:
-    """Problems of a value in its declared format."""
+def format_problems(kind: Column, value: Column, is_list: Column | None = None) -> Column:
+    """Problems of a value in its declared format. is_list: whether the value is one (a list must be)."""
     day, clock = F.size(dates(value)) > 0, F.size(times(value)) > 0
-    return F.when((kind == "datetime") & ~day, F.array(F.lit("no date"))).when((kind == "datetime") & ~clock, F.array(F.lit("no time"))).when((kind == "date") & ~day, F.array(F.lit("no date"))).when((kind == "contact") & (F.size(emails(value)) == 0) & (F.size(phones(value)) == 0), F.array(F.lit("no e-mail or phone"))).otherwise(F.array().cast("array<string>"))
+    said = lambda fails, what: F.when(fails, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
+    moment = F.concat(said(~day, "no date"), said(~clock, "no time"))
+    contact = said((F.size(emails(value)) == 0) & (F.size(phones(value)) == 0), "no e-mail or phone")
+    listed = said(~(is_list if is_list is not None else F.lit(True)), "no list")
+    return F.when(kind == "datetime", moment).when(kind == "date", said(~day, "no date")).when(kind == "contact", contact).when(kind == "list", listed).otherwise(F.array().cast("array<string>"))
+
+
+def format_warnings(kind: Column, value: Column) -> Column:
+    """A time of day without a time zone."""
+    return F.when((kind == "datetime") & (F.size(times(value)) > 0) & ~value.rlike(TIME_ZONE), F.array(F.lit("no time zone"))).otherwise(F.array().cast("array<string>"))
 
 
 def guard_tokens(question: Column) -> Column:
@@ -123,6 +163,11 @@ def guard_tokens(question: Column) -> Column:
 
 def change_sentences(text: Column, limit: int = 3) -> Column:
     """Sentences that announce a change, without the announcing words: queries for the second hop."""
-    cue = r"(?i)\b(?:has been |is hereby |are hereby |have been )?(?:changed|revised|extended|replaced|deleted|amended|added)(?: to)?\b"
-    found = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s.rlike(cue))
-    return F.slice(F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, cue, " "), r"\s+", " "))), lambda s: F.length(s) > 15), 1, limit)
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    found = F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: s.rlike(CHANGE_CUE))
+    return F.slice(F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(s, CHANGE_CUE, ""))), lambda s: F.length(s) > 15), 1, limit)
+
+
+def fold_dashes(text: Column) -> Column:
+    """Dashes of all widths and the minus sign as hyphens."""
+    return F.translate(text, "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-------")

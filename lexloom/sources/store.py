@@ -24,8 +24,11 @@ class ChunkStore:
         """chunk_schema: DDL with collection, file_name, chunk_id, chunk_index, text and any metadata."""
         self.spark, self.path = spark, path.rstrip("/")
         self._schemas = _SCHEMAS | {"chunks": f"{chunk_schema}, version long"}
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
         for name, schema in self._schemas.items():  # an empty part, so that every table can be read
-            spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+            if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")):
+                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self._schemas[name]).parquet(f"{self.path}/{name}")

@@ -37,8 +37,11 @@ def scan_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The shared folder the cluster names; a local one only on one machine, where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or "file:///tmp/checkpoints").rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
