@@ -186,7 +186,7 @@ def chunk_documents(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["_meta", "file_name", "chunk_index", "page", "section", "is_table", "text", "n_tokens"])
 
     meta = F.to_json(F.struct("collection", F.coalesce("doc_type", F.lit("other")).alias("doc_type"), F.col("addendum_number").cast("int").alias("addendum_number")))
-    rows = docs.select(meta.alias("_meta"), "file_name", F.col("pages").cast(f"array<{PAGE}>").alias("pages"))
+    rows = docs.select(meta.alias("_meta"), "file_name", F.transform("pages", lambda p: F.struct(*[p[c].alias(c) for c in ("page", "text", "headings", "tables")])).cast(f"array<{PAGE}>").alias("pages"))
     made = rows.mapInArrow(run, "_meta string, file_name string, chunk_index int, page int, section string, is_table boolean, text string, n_tokens int")
     made = made.withColumn("_m", F.from_json("_meta", "collection string, doc_type string, addendum_number int")).select("_m.*", "file_name", "page", "chunk_index", "section", "is_table", "text", "n_tokens")
     kind = F.concat(F.replace("doc_type", F.lit("_"), F.lit(" ")), F.coalesce(F.concat(F.lit(" #"), F.nullif("addendum_number", F.lit(0)).cast("string")), F.lit("")))

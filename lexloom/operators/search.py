@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexloom.sources.tables import written
 
@@ -64,8 +66,13 @@ def _best(scores: np.ndarray, keys: np.ndarray, top: int) -> list[tuple[int, np.
     return out
 
 
-def _local_top(score: Callable, names: list, top: int, block: int = BLOCK):
+def _result(queries: DataFrame, docs: DataFrame, query: str, key: str) -> T.StructType:
+    return T.StructType([T.StructField("query", queries.schema[query].dataType), T.StructField("key", docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+
+def _local_top(score: Callable, names: list, top: int, schema: T.StructType, block: int = BLOCK):
     """Rows (query, key, score) of the best of each query in a task: score gives a block's scores, rows by queries."""
+    kinds = to_arrow_schema(schema).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple]] = [[] for _ in names]
@@ -82,7 +89,7 @@ def _local_top(score: Callable, names: list, top: int, block: int = BLOCK):
                         held[q] = sorted([*held[q], *((-float(scores[i, q]), keys[i]) for i in at)])[:top]
         rows = [(names[q], k, -s) for q, best in enumerate(held) for s, k in best]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["query", "key", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], names=["query", "key", "score"])
 
     return run
 
@@ -132,12 +139,12 @@ def _bm25_part(queries: DataFrame, docs: DataFrame, query: str, key: str, top: i
     for r in counted.select(F.explode("term").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect():
         df[r[0]] = r[1]
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    best = None
+    best, schema = None, _result(queries, docs, query, key)
     for group in _groups(asked):
-        part = counted.mapInArrow(_scorer(spark, group, place, idf, mean, top), f"query {queries.schema[query].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double")
+        part = counted.mapInArrow(_scorer(spark, group, place, idf, mean, top, schema), schema)
         best = part if best is None else best.unionByName(part)
     if best is None:
-        best = spark.createDataFrame([], f"query {queries.schema[query].dataType.simpleString()}, key {docs.schema[key].dataType.simpleString()}, score double")
+        best = spark.createDataFrame([], schema)
     return top_k(best.select(F.col("query").alias(query), F.col("key").alias(key), "score"), query, key, top)
 
 
@@ -156,7 +163,7 @@ def _groups(asked: list[tuple]) -> Iterator[list[tuple]]:
         yield group
 
 
-def _scorer(spark: SparkSession, group: list[tuple], place: dict[str, int], idf: np.ndarray, mean: float, top: int):
+def _scorer(spark: SparkSession, group: list[tuple], place: dict[str, int], idf: np.ndarray, mean: float, top: int, schema: T.StructType):
     """The pass that scores counted documents against a group of queries."""
     own = np.array(sorted({place[w] for _, words in group for w in words or ()}), np.int64)
     here = {t: i for i, t in enumerate(own.tolist())}
@@ -181,7 +188,7 @@ def _scorer(spark: SparkSession, group: list[tuple], place: dict[str, int], idf:
         out[out == 0] = np.nan  # no term in common
         return out
 
-    return _local_top(score, [a for a, _ in group], top, max(16, min(BLOCK, CELLS // max(1, len(own)))))
+    return _local_top(score, [a for a, _ in group], top, schema, max(16, min(BLOCK, CELLS // max(1, len(own)))))
 
 
 def top_k(scored: DataFrame, query: str, key: str, top: int) -> DataFrame:
@@ -227,12 +234,12 @@ def _units(column: pa.Array) -> np.ndarray:
 def _dense_part(queries: DataFrame, vectors: DataFrame, query: str, key: str, top: int) -> DataFrame:
     asked = queries.select(query, "embedding").where("embedding is not null").orderBy(query).toArrow()
     names = asked.column(0).to_pylist()
-    schema = f"query {queries.schema[query].dataType.simpleString()}, key {vectors.schema[key].dataType.simpleString()}, score double"
+    schema = _result(queries, vectors, query, key)
     if not names:
         return top_k(vectors.sparkSession.createDataFrame([], schema).select(F.col("query").alias(query), F.col("key").alias(key), "score"), query, key, top)
     shared = vectors.sparkSession.sparkContext.broadcast(_units(asked.column(1).combine_chunks()).T)
     rows = vectors.where("embedding is not null").select(F.col(key).alias("key"), "embedding")
-    best = rows.mapInArrow(_local_top(lambda batch: _units(batch.column(1)) @ shared.value, names, top), schema)
+    best = rows.mapInArrow(_local_top(lambda batch: _units(batch.column(1)) @ shared.value, names, top, schema), schema)
     return top_k(best.select(F.col("query").alias(query), F.col("key").alias(key), "score"), query, key, top)
 
 

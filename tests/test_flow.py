@@ -69,7 +69,7 @@ def test_gather_numbers_neighbours(spark):
 def test_second_hop_and_cache(spark):
     hits = spark.createDataFrame([("q", "a", "n1", 0.9, "The due date has been extended to June 4."), ("q", "a", "n1", 0.9, "The due date has been extended to June 4."), ("q", "a", "n2", 0.5, "plain words")], "q string, collection string, chunk_id string, score double, text string")
     asked = gather.follow_up_queries(hits, "q", "collection").orderBy("pos")
-    assert [r["query"] for r in asked.collect()] == ["The due date June 4.", "plain words"]
+    assert [r["query"] for r in asked.collect()] == ["The due date has been to June 4.", "plain words"]
     follow = spark.createDataFrame([("q", "a", 100, "old", 0.1)], "q string, collection string, pos int, chunk_id string, score double")
     merged = gather.merge_hops(gather.best_scores(hits, "q", "collection"), follow, "q", "collection", keep=1)
     assert {r["chunk_id"] for r in merged.collect()} == {"old", "n1"}
