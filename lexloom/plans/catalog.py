@@ -397,7 +397,7 @@ def comparison_table(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT doc_id AS record, 'quality' AS field, CAST(quality AS VARCHAR) AS v FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels WHERE toxic = 1)
-SELECT DISTINCT l.doc_id AS record, g.field_pos, g.field, coalesce(r.v, '') AS value, CASE WHEN r.v IS NULL THEN 0.0 ELSE 0.9 END AS confidence, CASE WHEN r.v IS NULL THEN 'Not found in documents' ELSE 'labelled' END AS notes
+SELECT DISTINCT l.doc_id AS record, g.field_pos, g.field, coalesce(r.v, '') AS value, CASE WHEN r.v IS NULL THEN 0.0 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN r.v IS NULL THEN 'Not found in documents' ELSE 'labelled' END AS notes
 FROM labels l CROSS JOIN (VALUES ('quality', 0), ('toxic', 1), ('summary', 2)) g(field, field_pos) LEFT JOIN r ON r.record = l.doc_id AND r.field = g.field""")
 def assemble_records(spark, sf_dir):
     """Every registry field of every labelled document, with defaults for what no result holds."""

@@ -20,8 +20,18 @@ def duck():
 
 
 def plain(rows):
-    fix = lambda x: round(x, 5) if isinstance(x, float) else str(x) if x is not None else ""
-    return sorted((tuple(str(fix(x)) for x in r) for r in rows))
+    """Rows in any order, with their types: a decimal is no double; doubles to nine digits, as sums have no fixed order."""
+
+    def fix(x):
+        if isinstance(x, float):
+            return float(f"{x:.9g}")
+        if hasattr(x, "asDict"):
+            return fix(x.asDict())
+        if isinstance(x, dict):
+            return tuple((k, fix(v)) for k, v in sorted(x.items()))
+        return tuple(map(fix, x)) if isinstance(x, (list, tuple)) else x
+
+    return sorted(repr(tuple(map(fix, r))) for r in rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
